@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import exact_dedup, secrets
+from gazette.llm import exact_dedup, secrets, warc
 from gazette.llm.store import read_table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
+OP1_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(read_table(spark, sf_dir, "documents"))
 
@@ -26,8 +38,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_secret_scan": op4_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_exact_dedup": OP8_SQL}
