@@ -1,0 +1,31 @@
+"""Distinct-chunk tables: a tokenizer runs once for each distinct chunk, and ids are joined back by position."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+
+class ChunkTable(dict):
+    """Chunk -> what ``encode`` gives for it, for whole batches of chunks.
+
+    Once it holds more than ``limit`` chunks it forgets those that the batch at hand lacks, which keeps
+    the frequent ones; so it is bounded by the limit and the chunks of one batch. Results do not
+    depend on it.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], limit: int) -> None:
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def learn(self, chunks: Iterable[list[str]]) -> None:
+        """Make sure that all these chunks are in the table."""
+        wanted: set[str] = set()
+        for x in chunks:
+            wanted.update(x)
+        if len(self) > self.limit:
+            kept = [(x, self[x]) for x in wanted if x in self]
+            self.clear()
+            self.update(kept)
+        new = list(wanted.difference(self))
+        if new:
+            self.update(zip(new, self.encode(new), strict=True))
