@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import exact_dedup, secrets, sentencepieces, token_store, warc
+from gazette.llm import exact_dedup, language_id, secrets, sentencepieces, spaced_seeds, token_store, warc
 from gazette.llm.store import read_table
 
 
@@ -41,10 +41,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -57,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op4_secret_scan": op4_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_exact_dedup": OP8_SQL}
