@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import sys
 import types
+from itertools import repeat
 
 import numpy as np
 
@@ -69,6 +70,9 @@ class ChunkIds:
         pre = said.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and said["model"]["type"] == "BPE"
         self.limit, self.values, self.powers = table, byte_values(False), Powers()
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0]
+        self.by_chunk &= len(feed) == 1
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.clear()
@@ -78,10 +82,28 @@ class ChunkIds:
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.arena, self.used = np.zeros(1 << 18, self.kind), 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), self.kind, int(sizes.sum()))
+        return np.fromiter((x for y in ids for x in y), self.kind, int(sizes.sum())), sizes
+
+    def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters, with or without a space before them, in one call of the library.
+
+        A line feed between two of them is a token of its own, so its id marks where a run ends.
+        """
+        flat = np.array(self.tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.concatenate([np.flatnonzero(flat == self.feed), [len(flat)]])
+        return flat[flat != self.feed], np.diff(ends, prepend=-1) - 1
+
+    def _add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Slots for new chunks."""
+        runs = np.fromiter((x.lstrip(" ").isalpha() and "  " not in x for x in texts), bool, len(texts))
+        order = np.concatenate([np.flatnonzero(runs), np.flatnonzero(~runs)])
+        texts = [texts[i] for i in order.tolist()]
+        parts = [f(x) for f, x in ((self._runs, texts[: runs.sum()]), (self._ids, texts[runs.sum() :])) if x]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         a, n = len(self.slots), len(keys)
         while a + n > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
@@ -91,7 +113,10 @@ class ChunkIds:
         self.length[a : a + n] = sizes
         self.arena[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slots.update(zip(keys, range(a, a + n), strict=True))
+        self.slots.update(zip(keys[order].tolist(), range(a, a + n), strict=True))
+        slots = np.empty(n, np.int64)
+        slots[order] = np.arange(a, a + n)
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the offsets of the rows' ids."""
@@ -100,22 +125,19 @@ class ChunkIds:
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         if not self.by_chunk:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, ids)])
-            return np.fromiter((x for y in ids for x in y), self.kind, int(ends[-1])), ends
+            ids, sizes = self._ids(texts)
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
         at = cuts(data, offsets)
         starts, ends = at[:-1], at[1:]
         hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ (ends - starts).astype(np.uint64)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) > self.limit:
             self.clear()
-        found = [self.slots.get(k, -1) for k in keys.tolist()]
-        slot = np.array(found, np.int64)
+        slot = np.fromiter(map(self.slots.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slot < 0)
         if len(new):
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            slot[new] = np.arange(len(self.slots), len(self.slots) + len(new))
-            self._add(keys[new].tolist(), [raw[a:b].decode() for a, b in spans])
+            slot[new] = self._add(keys[new], [raw[a:b].decode() for a, b in spans])
         sizes = self.length[slot][back]
         total = np.concatenate([[0], np.cumsum(sizes)])
         index = np.repeat(self.begin[slot][back] - total[:-1], sizes) + np.arange(total[-1])

@@ -27,7 +27,7 @@ from gazette.llm.store import materialize, new_path, remove
 from gazette.llm.textvec import U64, mix, slices, utf8
 
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.
-WINDOW, BITS, LEAST, MOST = 8, 8, 64, 1024
+WINDOW, BITS, LEAST, MOST = 8, 9, 128, 2048
 #: Bytes of ids in a block before compression.
 BLOCK = 128 << 10
 DIGEST = 16
