@@ -47,6 +47,12 @@ def marks(data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.ndar
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def evidence(c1: np.ndarray, c0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-likelihood ratio of a mark's counts in n1 toxic and n0 other texts against equal shares."""
+    share, term = (c1 + c0) / (n1 + n0), lambda c, n, q: c * np.log(np.maximum(c, 1e-9) / np.maximum(n * q, 1e-9))
+    return 2 * (term(c1, n1, share) + term(c0, n0, share) + term(n1 - c1, n1, 1 - share) + term(n0 - c0, n0, 1 - share))
+
+
 @dataclass
 class Voters:
     """Hashes of marks, one voter each; the two pattern voters come after them."""
@@ -65,9 +71,9 @@ class Voters:
             at = np.minimum(np.searchsorted(h0, h1), len(h0) - 1)
             back = np.where(h0[at] == h1, c0[at], 0)
         lift = np.log((c1 + 0.1) / (n1 + 1)) - np.log((back + 0.5) / (n0 + 1))
-        evidence = 2 * (c1 * np.log(c1 * (n0 + n1) / ((c1 + back) * n1)) + back * np.log(np.maximum(back, 1) * (n0 + n1) / ((c1 + back) * n0)))
-        good = np.flatnonzero((lift > np.log(6)) & (evidence > EVIDENCE))
-        best = good[np.lexsort((h1[good], -evidence[good]))][:most]
+        said = evidence(c1, back, n1, n0)
+        good = np.flatnonzero((lift > np.log(6)) & (said > EVIDENCE))
+        best = good[np.lexsort((h1[good], -said[good]))][:most]
         return cls(np.sort(h1[best]))
 
     def votes(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -128,17 +134,17 @@ class Classifier:
 
     @classmethod
     def fit(cls, sets: list[np.ndarray], targets: np.ndarray) -> Classifier:
-        """Of the marks that stand in several of the texts, those that get a weight."""
+        """Targets are posteriors. Marks take part whose presence says much of them (evidence as for voters)."""
         if not len(sets):
             return cls(np.zeros(0, U64), np.zeros(0), -35.0)
-        hashes, count = np.unique(np.concatenate(sets), return_counts=True)
-        hashes = hashes[count >= 4]
+        every = np.concatenate(sets)
+        hashes, back = np.unique(every, return_inverse=True)
+        total = np.bincount(back)
+        toxic = np.bincount(back, np.repeat(targets, list(map(len, sets))))
+        hashes = hashes[evidence(toxic, total - toxic, targets.sum(), (1 - targets).sum()) > EVIDENCE]
         rows = []
         for s, y in zip(sets, targets, strict=True):
-            own = np.searchsorted(hashes, s)
-            own = own[(own < len(hashes))]
-            own = own[np.isin(hashes[own], s)]
-            own = np.unique(own) + 1
+            own = np.flatnonzero(np.isin(hashes, s)) + 1
             rows.append((own, np.ones(len(own)), float(y)))
         weights = fit(rows, len(hashes) + 1, epochs=6, alpha=0.2, l1=0.6, l2=0.05)
         kept = np.flatnonzero(weights[1:])
