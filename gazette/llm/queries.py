@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import exact_dedup, language_id, quality, secrets, sentencepieces, spaced_seeds, token_store, toxicity, warc
+from gazette.llm import exact_dedup, language_id, near_dedup, quality, secrets, sentencepieces, spaced_seeds, token_store, toxicity, warc
 from gazette.llm.store import read_table
 
 
@@ -49,6 +49,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
+    "op7_near_dedup": op7_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
