@@ -1,10 +1,4 @@
 """Every registered query and its DuckDB oracle."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from gazette.plans import aggregates, html, joins, model, ranking, relational, scalars, sources  # noqa: F401
+from gazette.plans.registry import QUERIES, SQL  # noqa: F401
