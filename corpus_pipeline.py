@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm import exact_dedup, language_id, near_dedup, sentencepieces, spaced_seeds
 from gazette.llm.queries import vocabulary
-from gazette.llm.store import materialize, read_table
+from gazette.shared import materialize, read_table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

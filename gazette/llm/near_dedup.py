@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.components import components
-from gazette.llm.store import materialize
+from gazette.operators.components import components
+from gazette.shared import materialize
 from gazette.llm.textvec import NOT_SPACE, U64, Powers, byte_values, mix, ngrams, slices, utf8, words_of
 
 REGISTERS, BAND = 128, 4

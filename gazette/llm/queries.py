@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gazette.llm import exact_dedup, language_id, near_dedup, quality, secrets, sentencepieces, spaced_seeds, token_store, toxicity, warc
-from gazette.llm.store import read_table
+from gazette.shared import read_table
 
 
 def vocabulary(name: str) -> str:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.store import new_path
+from gazette.shared import new_path
 
 
 @dataclass(frozen=True)

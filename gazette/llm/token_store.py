@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.chunk_ids import ChunkIds, process_cache
 from gazette.llm.files import attempt_name, open_fs
-from gazette.llm.store import materialize, new_path, remove
+from gazette.shared import materialize, new_path, remove
 from gazette.llm.textvec import U64, mix, slices, utf8
 
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.files import attempt_name, open_fs
-from gazette.llm.store import materialize, new_path
+from gazette.shared import materialize, new_path
 from gazette.llm.textvec import utf8
 
 #: Bytes of a block in one record; longer blocks are segmented.
