@@ -138,7 +138,7 @@ def tight_html(html: Column) -> Column:
     pattern = r"(?is)<pre\b[^>]*>.*?</pre>"
     outside = F.transform(F.split(html, pattern, -1), lambda p: F.regexp_replace(F.regexp_replace(p, r"[ \t]*\r?\n[ \t\r\n]*", " "), r"[ \t]{2,}", " "))
     inside = F.concat(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(outside, inside, F.concat), "")
+    return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, b)), "")
 
 
 def regex_text(html: Column) -> Column:

@@ -1 +1,75 @@
-"""Queries (filled in below)."""
+"""H queries over pages: operators that need an HTML tree. Rows only, their values are tested in tests/."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gazette.functions import html, text
+from gazette.operators import frames, rubric
+from gazette.plans.registry import query
+
+
+def pages(spark, sf):
+    return frames.table(spark, sf, "pages")
+
+
+@query("h02_visible_text")
+def h02(spark, sf):
+    seen = pages(spark, sf).select("page_id", html.visible_text_udf("html").alias("visible"))
+    return seen.withColumn("chars", F.length("visible"))
+
+
+@query("h03_prose_text")
+def h03(spark, sf):
+    return pages(spark, sf).select("page_id", html.prose_text_udf("html").alias("prose"))
+
+
+@query("h04_content_html")
+def h04(spark, sf):
+    return pages(spark, sf).select("page_id", html.content_html_udf("html").alias("content"))
+
+
+@query("h05_sanitized")
+def h05(spark, sf):
+    return pages(spark, sf).select("page_id", html.sanitized_udf("html").alias("safe"))
+
+
+@query("h06_markdown")
+def h06(spark, sf):
+    docs = frames.posts(spark, sf)
+    said = F.concat(F.lit("# "), "title", F.lit("\n\n"), "content", F.lit("\n\n- one\n- **two**"))
+    return docs.select("post_id", html.markdown_udf(said).alias("html"))
+
+
+@query("h07_sourced_images")
+def h07(spark, sf):
+    summary = F.concat(F.lit('<p>x</p><img src="/a.png"/><img src="https://nowhere.example/b.png"/>'), F.lit(""))
+    found = html.sourced_images_udf(summary, F.concat("html", F.lit("/a.png")), F.array().cast("array<string>"))
+    return pages(spark, sf).select("page_id", found.alias("x")).select("page_id", "x.*")
+
+
+@query("h14_tight_html")
+def h14(spark, sf):
+    return pages(spark, sf).select("page_id", text.tight_html(F.col("html")).alias("html"))
+
+
+@query("h18_images")
+def h18(spark, sf):
+    return pages(spark, sf).select("page_id", html.images_udf("html", "url").alias("images"))
+
+
+@query("src14_main_content")
+def src14(spark, sf):
+    return pages(spark, sf).select("page_id", html.main_content_udf("html").alias("main"))
+
+
+@query("url01_joined_url")
+def url01(spark, sf):
+    href = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    return pages(spark, sf).select("page_id", html.join_url_udf("url", href).alias("link"))
+
+
+@query("r11_rubric")
+def r11(spark, sf):
+    rows = pages(spark, sf).select(F.col("page_id").cast("string").alias("article_id"), F.col("html").alias("summary_html"), F.left("url", F.lit(60)).alias("one_liner"))
+    return rubric.evaluate(rows)

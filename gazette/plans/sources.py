@@ -1 +1,45 @@
-"""Queries (filled in below)."""
+"""SRC queries: pages in the shapes of the index-page specifications, made from the documents table, and address checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gazette.operators import frames, guard
+from gazette.plans.registry import query
+from gazette.sources import pages
+
+
+def index_pages(spark, sf):
+    """An index page for each source, its posts as cards with headings and dates."""
+    p = frames.posts(spark, sf)
+    card = F.concat(F.lit('<div class="card"><a href="/blog/p'), F.col("post_id"), F.lit('"><h3>Report '), F.col("post_id"), F.lit("</h3></a><time>"), F.date_format("published", "MMM d, yyyy"), F.lit("</time></div>"))
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(card)), "\n"), F.lit("</body></html>"))
+    return p.groupBy("source").agg(html.alias("html")).select(F.concat(F.lit("https://"), "source", F.lit(".example.com/blog/")).alias("url"), F.lit("blog").alias("spec"), "html")
+
+
+DAYS = "TIMESTAMP '2024-01-08'", "TIMESTAMP '2024-01-14 23:59:59.999999'"
+
+
+@query("src07_index_page_posts", f"WITH {frames.POSTS} SELECT 'https://' || source || '.example.com/blog/p' || post_id AS link, 'Report ' || post_id AS title, strftime(published, '%Y-%m-%d') AS day FROM posts WHERE date_trunc('day', published) BETWEEN {DAYS[0]} AND {DAYS[1]}")
+def src07(spark, sf):
+    found = pages.posts_in_window(pages.scrape(index_pages(spark, sf)), F.expr(DAYS[0]), F.expr(DAYS[1]))
+    return found.select("link", "title", F.date_format("published", "yyyy-MM-dd").alias("day"))
+
+
+@query("src11_page_health", f"WITH {frames.POSTS} SELECT 'https://' || source || '.example.com/blog/' AS url, 'blog' AS fetcher, CASE WHEN count(*) FILTER (date_trunc('day', published) BETWEEN {DAYS[0]} AND {DAYS[1]}) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) FILTER (date_trunc('day', published) BETWEEN {DAYS[0]} AND {DAYS[1]}) AS post_count, 0::bigint AS duplicates, count(*) AS candidates, NULL::varchar AS error FROM posts GROUP BY source UNION ALL SELECT 'https://lost.example.com/', 'blog', 'failed', 0, 0, NULL, 'ValueError: page is missing'")
+def src11(spark, sf):
+    lost = frames.literal(spark, [("https://lost.example.com/", "blog", None)], "url string, spec string, html string")
+    scraped = pages.scrape(index_pages(spark, sf).unionByName(lost))
+    return pages.page_health(scraped, pages.posts_in_window(scraped, F.expr(DAYS[0]), F.expr(DAYS[1])))
+
+
+@query("src13_may_fetch", "SELECT page_id, true AS allowed FROM pages")
+def src13(spark, sf):
+    return frames.table(spark, sf, "pages").select("page_id", guard.may_fetch_udf("url").alias("allowed"))
+
+
+@query("f12_valid_emails", "SELECT c_custkey AS id, c_custkey % 3 <> 0 AS valid FROM customer")
+def f12(spark, sf):
+    c = frames.table(spark, sf, "customer")
+    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("reader "), "c_custkey", F.lit("@example"))).otherwise(F.concat(F.lit(" reader"), "c_custkey", F.lit("@example.org ")))
+    return c.select(F.col("c_custkey").alias("id"), guard.is_email_udf(said).alias("valid"))
