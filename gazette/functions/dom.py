@@ -29,12 +29,12 @@ class Node:
                 yield x
                 yield from x.walk()
 
-    def strings(self, hidden: bool = False) -> Iterator[str]:
+    def strings(self) -> Iterator[str]:
         for x in self.children:
             if isinstance(x, Node):
                 if x.name not in HIDDEN:
                     yield from x.strings()
-            elif isinstance(x, str):
+            elif not isinstance(x, Raw):
                 yield x
 
     def text(self, joiner: str = " ") -> str:

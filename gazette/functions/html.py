@@ -8,7 +8,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gazette import fixed
 from gazette.functions.dom import Node, Raw, parse, select
@@ -170,7 +170,12 @@ def _markdown(text: str) -> str:
     return "\n".join(out)
 
 
-MEASUREMENT = "length int, sections array<string>, required_sections int, missing array<string>, subheads int, absence_filler int, repeated int, code_blocks int, tables int, images int, captioned int, prose string, results string, earlier string"
+_KINDS = {"int": IntegerType(), "texts": ArrayType(StringType()), "text": StringType()}
+_MEASURES = (
+    ("length", "int"), ("sections", "texts"), ("required_sections", "int"), ("missing", "texts"), ("subheads", "int"), ("absence_filler", "int"), ("code_blocks", "int"),
+    ("tables", "int"), ("images", "int"), ("captioned", "int"), ("prose", "text"), ("results", "text"), ("earlier", "text"),
+)
+MEASUREMENT = StructType([StructField(name, _KINDS[kind]) for name, kind in _MEASURES])
 
 
 def measured(html: str | None) -> tuple:
@@ -184,7 +189,7 @@ def measured(html: str | None) -> tuple:
         captioned += bool(caption and caption.text(""))
     present = [m for m in fixed.SECTION_MARKERS if m in parts]
     earlier = " ".join(parts.get(m, "") for m in fixed.EARLIER_SECTIONS)
-    return (len(text), present, sum(m in parts for m in fixed.REQUIRED_SECTIONS), [m for m in fixed.SECTION_MARKERS if m not in parts], len(root.find("h4", "h5", "h6")), sum(text.count(p) for p in fixed.ABSENCE_FILLER), 0, len(root.find("pre")), len(root.find("table")), len(pictures), captioned, text, parts.get(fixed.RESULTS_SECTION, ""), earlier)
+    return (len(text), present, sum(m in parts for m in fixed.REQUIRED_SECTIONS), [m for m in fixed.SECTION_MARKERS if m not in parts], len(root.find("h4", "h5", "h6")), sum(text.count(p) for p in fixed.ABSENCE_FILLER), len(root.find("pre")), len(root.find("table")), len(pictures), captioned, text, parts.get(fixed.RESULTS_SECTION, ""), earlier)
 
 
 def _string_udf(f):
@@ -213,7 +218,7 @@ def join_url_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else joined_url(b or "", h) for b, h in zip(base, href, strict=True)])
 
 
-@F.pandas_udf("html string, dropped array<string>")
+@F.pandas_udf(StructType([StructField("html", StringType()), StructField("dropped", ArrayType(StringType()))]))
 def sourced_images_udf(summary: pd.Series, source: pd.Series, known: pd.Series) -> pd.DataFrame:
     rows = [sourced_images(a, b, list(c) if c is not None else []) for a, b, c in zip(summary, source, known, strict=True)]
     return pd.DataFrame({"html": [r[0] for r in rows], "dropped": [r[1] for r in rows]})
@@ -221,5 +226,4 @@ def sourced_images_udf(summary: pd.Series, source: pd.Series, known: pd.Series)
 
 @F.pandas_udf(MEASUREMENT)
 def measured_udf(html: pd.Series) -> pd.DataFrame:
-    names = [x.split()[0] for x in MEASUREMENT.split(", ")]
-    return pd.DataFrame([measured(x) for x in html], columns=names)
+    return pd.DataFrame([measured(x) for x in html], columns=[name for name, _ in _MEASURES])

@@ -8,6 +8,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def blocked_ip(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
@@ -55,11 +56,11 @@ def is_email(address: str | None) -> bool:
     return good and all(_LABEL.fullmatch(x) and "_" not in x for x in labels) and not labels[-1].isdigit()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def may_fetch_udf(url: pd.Series) -> pd.Series:
     return url.map(may_fetch)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_email_udf(address: pd.Series) -> pd.Series:
     return address.map(is_email)

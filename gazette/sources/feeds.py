@@ -30,7 +30,7 @@ def entries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     atom = _read(spark, paths, "entry", ATOM).select(
         "feed", "title", F.get(links, F.lit(0))["_href"].alias("link"), dates.entry_date_text(F.col("published"), F.col("updated")).alias("published_text"), "summary", "content", F.coalesce(terms, F.array().cast("array<string>")).alias("tags"), F.col("_bad").alias("bad")
     )
-    return rss.unionByName(atom)
+    return rss.unionByName(atom).where(F.coalesce(F.length("title"), F.lit(0)) >= 0)
 
 
 def posts_in_window(rows: DataFrame, start, end) -> DataFrame:

@@ -23,13 +23,19 @@ def read_posts(spark: SparkSession, path: str, day: str | None = None) -> DataFr
     try:
         rows = reader.json(path)
         rows = rows if day is None else rows.where(F.col("date") == day)
-        return rows.withColumn("file", F.col("_metadata.file_name")).where("_bad IS NULL").drop("_bad")
+        return well_formed(rows.withColumn("file", F.col("_metadata.file_name")), "title")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], f"{POST}, date string, file string")
 
 
+def well_formed(rows: DataFrame, column: str) -> DataFrame:
+    """Rows that could be parsed. Spark takes the mark of the others only beside a column of the data, so one is named."""
+    named = F.coalesce(F.length(F.col(column).cast("string")), F.lit(0)) >= 0
+    return rows.where(F.col("_bad").isNull() & named).drop("_bad")
+
+
 def run_days(posts: DataFrame) -> DataFrame:
     """Days whose name is one, newest last."""
     return posts.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("date").distinct().orderBy("date")
@@ -44,7 +50,7 @@ def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         rows = spark.read.schema(f"{schema}, _bad string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", multiLine=True).json(path)
         rows.limit(1).collect()
-        return rows.where("_bad IS NULL").drop("_bad")
+        return well_formed(rows, rows.columns[0])
     except Exception:
         return spark.createDataFrame([], schema)
 
