@@ -4,7 +4,7 @@
    smallest hash in each the register keeps the number of leading zeros and ten mantissa bits.
 2. Texts with the same set are one node. Four registers are a band; nodes that share a band share a
    bucket. A pair at 0.8 is in no common bucket with a probability of 5e-8 (0.59 to the power of 32).
-3. In each bucket every node is paired with the bucket's smallest only. Pairs whose Jaccard similarity,
+3. In each bucket every node is paired with the bucket's head only, the node that meets most others. Pairs whose Jaccard similarity,
    estimated from the registers and corrected for collisions, is far below the threshold are left out;
    the others are verified on full sets. Links give components.
 4. A link that step 3 did not see joins two components. Nodes that share several bands with a node of
@@ -169,10 +169,22 @@ def fits(a: Column, b: Column, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def star_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links between a bucket's smallest node and its others."""
-    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("a")).where("members > 1")
-    pairs = rows.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, node, head) of the buckets with several nodes; the head is the node that shares most buckets with most others.
+
+    A text from which many were copied meets them all, its copies meet each other less; so heads are
+    mostly originals, and most links are links with a head. What is joined here is the shared buckets only.
+    """
+    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(rows.join(members, "key"), "shared-buckets")
+    degrees = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    heads = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("top"))
+    return materialize(shared.select("key", "node").join(heads.select("key", (-F.col("top.least")).alias("head")), "key"), "buckets")
+
+
+def star_links(nodes: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links between a bucket's head and its other nodes."""
+    pairs = shared.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     left, right = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
     close = pairs.join(left, "a").join(right, "b").where(fits(F.col("n_a"), F.col("n_b"), rule)).where(likely(F.col("r_a"), F.col("r_b"), rule))
     close = materialize(close.select("a", "b"), "star-pairs")
@@ -180,10 +192,10 @@ def star_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule) -
     return materialize(verified(close, sets_of(docs, ids, rule.words), rule), "star-links")
 
 
-def open_nodes(nodes: DataFrame, rows: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def open_nodes(nodes: DataFrame, shared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """(node, label, n) of the nodes that share several bands with a node of another component."""
     labelled = nodes.join(labels, "node", "left").select("node", "n", "bands", F.coalesce("label", "node").alias("label"))
-    own = rows.join(labelled.select("node", "label"), "node")
+    own = shared.select("key", "node").join(labelled.select("node", "label"), "node")
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     among = materialize(labelled.join(own.join(mixed, "key").select("key", "node"), "node").select("key", "node", "n", "bands", "label"), "mixed-buckets")
     other = among.select(*[F.col(c).alias(f"{c}_o") for c in among.columns])
@@ -222,10 +234,10 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B00
     prints = materialize(fingerprints(docs, rule.words), "fingerprints")
     nodes = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n", "registers", "bands").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    links = star_links(nodes, rows, docs, rule)
+    shared = buckets(nodes.select("node", F.explode("bands").alias("key")))
+    links = star_links(nodes, shared, docs, rule)
     labels = components(links)
-    opened = open_nodes(nodes, rows, labels, rule)
+    opened = open_nodes(nodes, shared, labels, rule)
     more = prefix_links(opened, docs, rule)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
