@@ -1,4 +1,4 @@
-"""The queries of the training-data operators, and SQL for those that SQL can express."""
+"""The queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gazette.llm import exact_dedup, language_id, near_dedup, quality, secrets, sentencepieces, spaced_seeds, token_store, toxicity, warc
+from gazette.llm.oracles import SQL  # noqa: F401
 from gazette.shared import read_table
 
 
@@ -21,14 +22,6 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
 
 
-OP1_SQL = """
-SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
-FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
-"""
-
-
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -65,13 +58,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-OP8_SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_store": op2_token_store,
@@ -84,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
-
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_exact_dedup": OP8_SQL}
