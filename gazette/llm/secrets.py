@@ -91,8 +91,11 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     spark = versions.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = versions.drop("blob", "spans").withColumn("blob", F.sha2(text, 256))
-    seen = read_ledger(spark, ledger).where(F.col("rules") == version)
-    blobs = rows.select("blob", text.alias("text")).join(seen.select("blob"), "blob", "left_anti").distinct()
+    seen = read_ledger(spark, ledger).where(F.col("rules") == version).select("blob")
+    # Copies are combined within each task before they meet, so a blob of a third of all rows is a row for each task.
+    blobs = rows.select("blob", text.alias("text")).distinct()
+    if not seen.isEmpty():
+        blobs = blobs.join(seen, "blob", "left_anti")
     scan(blobs, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(ledger)
     found = read_ledger(spark, ledger).where((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans").distinct()
     none = F.array().cast(f"array<{SPAN}>")
