@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.textvec import ALNUM, U64, mix, slices, utf8
+from gazette.llm.textvec import ALNUM, U64, lower_latin, mix, slices, utf8
 
 COLUMNS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -37,9 +37,7 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, COLUMNS), np.float32)
     if not len(data):
         return out
-    x = _FOLD[data]
-    upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    x[upper] += 0x20
+    x = _FOLD[lower_latin(data)]
     row = np.repeat(np.arange(n), np.diff(offsets))
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True

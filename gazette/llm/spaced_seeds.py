@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.textvec import ALNUM, U64, Powers, byte_values, mix, slices, utf8, words_of
+from gazette.llm.textvec import ALNUM, U64, Powers, byte_values, lower_latin, mix, slices, utf8, words_of
 
 MASKS = ("1111", "11101", "10111", "11011")
 #: Words that an overlap must span; equal words for each ten.
@@ -79,7 +79,7 @@ class Block:
     @classmethod
     def of(cls, ids: list[int], texts: list[str], masks: tuple[str, ...]) -> Block:
         data, offsets = utf8(pa.array(texts, pa.string()))
-        words, _, bounds = words_of(data, offsets, ALNUM, byte_values(), Powers())
+        words, _, bounds = words_of(lower_latin(data), offsets, ALNUM, byte_values(), Powers())
         keys, item, at = [], [], []
         for j, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             for k, mask in enumerate(masks):
@@ -122,7 +122,7 @@ class Block:
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """One row for each document and benchmark item that overlap, with the longest overlap.
 
-    Words are runs of ASCII letters and digits and of any other non-ASCII characters; ASCII letters in
+    Words are runs of ASCII letters, digits and any non-ASCII characters; ASCII and Latin-1 letters in
     either case are equal. Null and empty texts and items of fewer than five words overlap with
     nothing; an empty benchmark or table gives an empty result. Rows that repeat give rows that repeat
     on the document side; benchmark rows count once for each item_id and text.
@@ -151,7 +151,7 @@ def search(docs: DataFrame, queries: Block, masks: tuple[str, ...], least: int)
             doc_ids, rows = batch.column(0).to_pylist(), []
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
-                words, _, bounds = words_of(data[o[0] : o[-1]], o - o[0], ALNUM, values, powers)
+                words, _, bounds = words_of(lower_latin(data[o[0] : o[-1]]), o - o[0], ALNUM, values, powers)
                 for row, item, *rest in table.find(words, bounds, masks, least):
                     rows.append(dict(zip(schema.names, (doc_ids[a + row], table.ids[item], *rest), strict=True)))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -71,6 +71,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with U+00C0 to U+00DE (but the sign among them) in lower case, as long as before."""
+    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1 if len(data) > 1 else []
+    if not len(wide):
+        return data
+    out = data.copy()
+    out[wide] += 0x20
+    return out
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges that hold about ``limit`` bytes each, one row at least."""
     a, n = 0, len(offsets) - 1

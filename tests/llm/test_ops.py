@@ -297,7 +297,7 @@ def test_label_model_discounts_copies_of_a_voter():
 
 
 def plain_overlaps(texts, items, least):
-    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), t or ""))
     out = set()
     for d, t in enumerate(texts):
         for i, s in enumerate(items):
