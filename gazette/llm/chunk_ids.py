@@ -12,14 +12,13 @@ from __future__ import annotations
 import json
 import sys
 import types
-from itertools import repeat
 
 import numpy as np
 
 from gazette.llm.textvec import Powers, byte_values, span_hashes
 
 #: Distinct chunks that a worker process remembers.
-TABLE = 1_000_000
+TABLE = 3_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -38,8 +37,8 @@ def process_cache(key, make):
     return module.__dict__[key]
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted byte positions at which chunks start, those of non-empty rows among them; and the end."""
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted byte positions at which chunks start, with the end of the data behind them; and which bytes are of Latin letters."""
     letter = _LETTER[data]
     wide = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]]) if len(data) > 1 else np.zeros(0, np.int64)
     letter[wide] = letter[wide + 1] = True
@@ -54,7 +53,47 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mark[end[data[end] < 0x80]] = True
     mark[offsets] = True
     mark[len(data)] = True
-    return np.flatnonzero(mark)
+    return np.flatnonzero(mark), letter
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all elements of spans, span by span."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])
+
+
+class Slots:
+    """Sorted hashes with their slots: a large table, and a small one that is merged into it now and then."""
+
+    SMALL = 1 << 17
+
+    def __init__(self) -> None:
+        self.large = self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    @staticmethod
+    def _merged(a, b):
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of sorted hashes, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in (self.large, self.small):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                same = known[at] == keys
+                out[same] = slots[at[same]]
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """New sorted hashes."""
+        self.small = self._merged(self.small, (keys, slots.astype(np.int32)))
+        if len(self.small[0]) > self.SMALL:
+            self.large = self._merged(self.large, self.small)
+            self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 class ChunkIds:
@@ -78,8 +117,8 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.slots = Slots()
+        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.arena, self.used = np.zeros(1 << 18, self.kind), 0
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,23 +127,30 @@ class ChunkIds:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for y in ids for x in y), self.kind, int(sizes.sum())), sizes
 
-    def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters, with or without a space before them, in one call of the library.
 
         A line feed between two of them is a token of its own, so its id marks where a run ends.
         """
-        flat = np.array(self.tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.concatenate([np.flatnonzero(flat == self.feed), [len(flat)]])
-        return flat[flat != self.feed], np.diff(ends, prepend=-1) - 1
-
-    def _add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
-        """Slots for new chunks."""
-        runs = np.fromiter((x.lstrip(" ").isalpha() and "  " not in x for x in texts), bool, len(texts))
-        order = np.concatenate([np.flatnonzero(runs), np.flatnonzero(~runs)])
-        texts = [texts[i] for i in order.tolist()]
-        parts = [f(x) for f, x in ((self._runs, texts[: runs.sum()]), (self._ids, texts[runs.sum() :])) if x]
+        sizes = ends - starts
+        said = np.full(int(sizes.sum()) + len(sizes), 0x0A, np.uint8)
+        said[gathered(np.cumsum(sizes + 1) - sizes - 1, sizes)] = data[gathered(starts, sizes)]
+        flat = np.array(self.tokenizer.encode_batch_fast([said[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.concatenate([np.flatnonzero(flat == self.feed), [len(flat)]])
+        return flat[flat != self.feed], np.diff(stops, prepend=-1) - 1
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Slots for new chunks, given by their hashes in order and their places."""
+        order = np.concatenate([np.flatnonzero(run), np.flatnonzero(~run)])
+        n, runs = len(keys), int(run.sum())
+        starts, ends = starts[order], ends[order]
+        parts = []
+        if runs:
+            parts.append(self._runs(data, starts[:runs], ends[:runs]))
+        if runs < n:
+            parts.append(self._ids([data[a:b].tobytes().decode() for a, b in zip(starts[runs:].tolist(), ends[runs:].tolist(), strict=True)]))
         flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, n = len(self.slots), len(keys)
+        a = len(self.slots)
         while a + n > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         while self.used + len(flat) > len(self.arena):
@@ -113,9 +159,9 @@ class ChunkIds:
         self.length[a : a + n] = sizes
         self.arena[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slots.update(zip(keys[order].tolist(), range(a, a + n), strict=True))
         slots = np.empty(n, np.int64)
         slots[order] = np.arange(a, a + n)
+        self.slots.add(keys, slots)
         return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +173,19 @@ class ChunkIds:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             ids, sizes = self._ids(texts)
             return ids, np.concatenate([[0], np.cumsum(sizes)])
-        at = cuts(data, offsets)
+        at, letter = cuts(data, offsets)
         starts, ends = at[:-1], at[1:]
         hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ (ends - starts).astype(np.uint64)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) > self.limit:
             self.clear()
-        slot = np.fromiter(map(self.slots.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        slot = self.slots.get(keys)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            slot[new] = self._add(keys[new], [raw[a:b].decode() for a, b in spans])
-        sizes = self.length[slot][back]
+            a, b = starts[first[new]], ends[first[new]]
+            letters = np.concatenate([[0], np.cumsum(letter)])
+            run = (letters[b] - letters[a] == b - a - (data[a] == 0x20)) & (letters[b] > letters[a])
+            slot[new] = self._add(keys[new], data, a, b, run)
+        sizes = self.length[slot][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        index = np.repeat(self.begin[slot][back] - total[:-1], sizes) + np.arange(total[-1])
-        return self.arena[index], total[np.searchsorted(at, offsets)]
+        return self.arena[gathered(self.begin[slot][back].astype(np.int64), sizes)], total[np.searchsorted(at, offsets)]
