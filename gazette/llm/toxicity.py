@@ -30,7 +30,7 @@ SAMPLE, UNLABELLED, VOTERS = 1000, 1000, 300
 #: Voters that fire together more than this within a class count as one.
 CORRELATED = 0.5
 #: Log-likelihood ratio of label and presence that a voter needs: chance gives no mark of a large sample as much.
-EVIDENCE = 32.0
+EVIDENCE = 24.0
 THRESHOLD = 0.7
 
 
@@ -94,12 +94,12 @@ class LabelModel:
 
     @classmethod
     def fit(cls, votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> LabelModel:
-        """known: 1 or 0 where a label started the model, nan elsewhere. Labels set the first rates; then all rows' posteriors do."""
+        """known: 1 or 0 where there is a label, nan elsewhere. Rates come from the labels and from the other rows' posteriors."""
         weight, labelled = np.ones(votes.shape[1]), ~np.isnan(known)
         share = float(np.clip(known[labelled].mean(), 0.01, 0.99))
         model = cls(share, cls._rates(votes[labelled], known[labelled]), weight)
         for _ in range(rounds):
-            posterior = model.posterior(votes)
+            posterior = np.where(labelled, known, model.posterior(votes))
             model = cls(float(np.clip(posterior.mean(), 0.001, 0.999)), cls._rates(votes, posterior), cls._discount(votes, posterior))
         return model
 
@@ -146,7 +146,7 @@ class Classifier:
         for s, y in zip(sets, targets, strict=True):
             own = np.flatnonzero(np.isin(hashes, s)) + 1
             rows.append((own, np.ones(len(own)), float(y)))
-        weights = fit(rows, len(hashes) + 1, epochs=6, alpha=0.2, l1=0.6, l2=0.05)
+        weights = fit(rows, len(hashes) + 1, epochs=20, alpha=0.2, l1=0.3, l2=0.05)
         kept = np.flatnonzero(weights[1:])
         return cls(hashes[kept], weights[1:][kept], float(weights[0]))
 
