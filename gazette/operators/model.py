@@ -7,8 +7,10 @@ two consumers read its result; a lost executor repeats only the calls of its unf
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
@@ -52,6 +54,39 @@ class RuleSummarizer:
         return [self.one(x) for x in inputs]
 
 
+@dataclass(frozen=True)
+class Repaired:
+    """A model whose raw texts are parsed, and given to a fixer once where that fails."""
+
+    raw: Callable[[dict[str, Any]], str]
+    parse: Callable[[str], dict[str, Any]]
+    fix: Callable[[str, str], str] | None = None
+
+    def one(self, item):
+        said = self.raw(item)
+        try:
+            return self.parse(said)
+        except ValueError as e:
+            if self.fix is None:
+                raise
+            return self.parse(self.fix(said, str(e)))
+
+    def batch(self, inputs):
+        return [self.one(x) for x in inputs]
+
+
+def parse_tags(said: str, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict[str, str]:
+    """Inner text of the first element of each name; a required one that is missing or empty is an error."""
+    out = {}
+    for name in required + optional:
+        found = re.search(rf"(?is)<{name}[^>]*>(.*?)</{name}>", said)
+        if found and found[1].strip():
+            out[name] = found[1].strip()
+        elif name in required:
+            raise ValueError(f"no {name}")
+    return out
+
+
 def with_retries(call: Callable[[], Any], attempts: int, wait: Callable[[int], float]) -> Any:
     """The call's result, tried again after a wait; the last failure is raised."""
     for k in range(attempts):

@@ -352,3 +352,21 @@ def f30(spark, sf):
     width = len("Source:") + 1
     body = F.concat(F.rpad(F.lit("Source:"), width, " "), F.lit(" "), "source", F.lit("\n"), F.rpad(F.lit("Posts:"), width, " "), F.lit(" "), F.col("n").cast("string"))
     return n.select("source", F.lit("[gazette] crawl — ALERT").alias("subject"), body.alias("body"))
+
+
+@query("t08_sentences", P + "SELECT post_id, len(list_filter(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS sentences FROM posts")
+def t08(spark, sf):
+    return frames.posts(spark, sf).select("post_id", F.size(text.sentences(F.col("content"))).cast("long").alias("sentences"))
+
+
+@query("t10_quantities")
+def t10(spark, sf):
+    said = F.concat(F.lit("22% of "), "post_id", F.lit(" GB, "), F.col("post_id") % 7, F.lit(".5x and 2 pods"))
+    return frames.posts(spark, sf).select("post_id", text.quantities(said).alias("found"))
+
+
+@query("t11_marker_hits")
+def t11(spark, sf):
+    said = F.when(F.col("post_id") % 2 == 0, "이 방법을 통해 다양한 것이").otherwise(F.col("title"))
+    rows = frames.posts(spark, sf).select("post_id", text.marker_counts(said, fixed.TRANSLATIONESE).alias("translationese"), text.marker_counts(said, fixed.CLICHES).alias("cliches"))
+    return rows.select("post_id", F.map_keys("translationese").alias("translationese"), F.map_keys("cliches").alias("cliches"))

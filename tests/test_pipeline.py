@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette import config
-from gazette.operators import alerts, delivery, evalmetrics, greeting, guard, health, model, render, rubric
+from gazette.operators import alerts, delivery, evalmetrics, greeting, guard, health, model, prompts, render, rubric
 from gazette.streaming import digest
 
 
@@ -127,6 +127,21 @@ def test_greetings():
     assert greeting.greet("w " * 25, lambda t, n: "w " * 5, (10, 20), "en") == "w " * 25
 
 
+def test_prompts():
+    t = prompts.Template("fixed {{x}} <!-- cache --> about {topic}", ("topic",))
+    assert t.filled(topic="T") == "fixed {x} <!-- cache --> about T" and t.split() == ("fixed {{x}} ", " about {topic}")
+    for bad in (("{a}", ()), ("x", ("a",))):
+        with pytest.raises(ValueError):
+            prompts.Template(*bad)
+
+
+def test_repair():
+    parse = lambda said: model.parse_tags(said, ("score",), ("title",))
+    good = model.Repaired(lambda item: "<score>", parse, lambda said, why: f"<score> 1 </score><TITLE>{why}</TITLE>")
+    assert good.one({}) == {"score": "1", "title": "no score"}
+    assert model.with_fallback(model.Repaired(lambda item: "", parse), [{}], 1) == [None]
+
+
 def test_settings():
     assert config.load({"selection": {"min_score": None, "max_posts": 4}}).selection == config.Selection(max_posts=4)
     for bad in ({"schedule": "x"}, {"issue": {"send_emails": True}}, {"odd": 1}):
