@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses. What is written there goes when the driver ends, if it ends in order."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(path)
+    return path
+
+
+def _sweep() -> None:
+    from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is None:
+        return
+    spark = SparkSession.getActiveSession()
+    for path in _made if spark is not None else ():
+        with contextlib.suppress(Exception):
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
