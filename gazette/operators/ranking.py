@@ -13,8 +13,8 @@ def by_relevance(posts: DataFrame) -> list[Column]:
     return [F.desc("score"), F.desc("published"), F.asc("ord")]
 
 
-def ranked(posts: DataFrame) -> DataFrame:
-    """With ``rank`` from 1 over all rows, without bringing all rows to one task.
+def ranked(posts: DataFrame, ties: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """With ``rank`` from 1 over all rows by score and date, then by ``ties``, without bringing all rows to one task.
 
     Rows are counted by score and day; a row's rank is the number of rows in better groups and its
     place within its own. What the global window orders is one row for each score and day.
@@ -23,7 +23,7 @@ def ranked(posts: DataFrame) -> DataFrame:
     keyed = posts.withColumn("day", day)
     before = Window.orderBy(F.desc("score"), F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     groups = keyed.groupBy("score", "day").agg(F.count(F.lit(1)).alias("n")).select("score", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("score", "day").orderBy(F.desc("published"), F.asc("ord"))
+    own = Window.partitionBy("score", "day").orderBy(F.desc("published"), *ties)
     placed = keyed.withColumn("place", F.row_number().over(own)).join(groups, ["score", "day"])
     return placed.withColumn("rank", (F.col("before") + F.col("place")).cast("long")).drop("day", "place", "before")
 
@@ -33,21 +33,24 @@ def select_for_digest(posts: DataFrame, max_posts: int | None, max_per_source: i
 
     The best of each source up to the cap, then as many of the rest as there is room for, all in order of
     rank; the result is ordered by score and date, and of equals those within the cap come first. No
-    limit (null, or 0 and less) takes all. With a limit of n only the n best of a source can matter, so a
-    source that holds most rows is cut down before the shuffle.
+    limit (null, or 0 and less) takes all. With a limit of n only the n best of a source can matter, without
+    one only those within the cap are looked for, so a source that holds most rows is cut down before the
+    shuffle.
     """
     limit = max_posts if max_posts is not None and max_posts > 0 else None
     order = by_relevance(posts)
-    own = posts.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    if limit is not None:
-        own = own.where(F.col("nth") <= limit)
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(*order))
+    if limit is None:
+        if max_per_source is None:
+            return ranked(posts).withColumnRenamed("rank", "position")
+        within = posts.withColumn("nth", nth).where(F.col("nth") <= max_per_source).select("ord", F.lit(0).alias("over"))
+        marked = posts.join(within, "ord", "left").withColumn("over", F.coalesce("over", F.lit(1)))
+        return ranked(marked, ("over", "ord")).withColumnRenamed("rank", "position").drop("over")
+    own = posts.withColumn("nth", nth).where(F.col("nth") <= limit)
     over = F.lit(0) if max_per_source is None else (F.col("nth") > max_per_source).cast("int")
-    chosen = own.withColumn("over", over).orderBy("over", *order)
-    if limit is not None:
-        chosen = chosen.limit(limit)
-        final = Window.orderBy(F.desc("score"), F.desc("published"), "over", "ord")
-        return chosen.withColumn("position", F.row_number().over(final)).drop("nth", "over")
-    return ranked(chosen.drop("nth", "over")).withColumnRenamed("rank", "position")
+    chosen = own.withColumn("over", over).orderBy("over", *order).limit(limit)
+    final = Window.orderBy(F.desc("score"), F.desc("published"), "over", "ord")
+    return chosen.withColumn("position", F.row_number().over(final)).drop("nth", "over")
 
 
 def greedy_dedup(rows: DataFrame, link: str = "link", key: str = "title_key", ord: str = "ord") -> DataFrame:

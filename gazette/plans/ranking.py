@@ -56,6 +56,11 @@ def s02(spark, sf):
     return line_up(spark, sf, None, None)
 
 
+@query("s02_cap_without_limit", line_up_sql(None, 2))
+def s02_cap(spark, sf):
+    return line_up(spark, sf, None, 2)
+
+
 def keyed(spark, sf):
     """Posts of all sources in order of fetching, with the title's key."""
     return frames.posts(spark, sf).withColumn("title_key", text.title_key(F.col("title")))

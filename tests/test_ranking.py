@@ -50,9 +50,9 @@ def test_ties_put_capped_picks_first(spark):
 
 def test_random_selections(spark):
     r = random.Random(5)
-    for _ in range(12):
+    for _ in range(16):
         rows = [(f"n{k}", r.choice("abc"), r.randint(0, 4) / 4, DAY + timedelta(hours=r.randint(0, 3))) for k in range(r.randint(1, 14))]
-        limit, cap = r.choice([1, 3, 5, 20]), r.choice([None, 1, 2])
+        limit, cap = r.choice([1, 3, 5, 20, None]), r.choice([None, 1, 2])
         assert selected(spark, rows, limit, cap) == plain_select(rows, limit, cap)
 
 
