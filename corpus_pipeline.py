@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from gazette.llm import exact_dedup, language_id, near_dedup, sentencepieces, spaced_seeds
 from gazette.llm.queries import vocabulary
-from gazette.shared import materialize, read_table
+from gazette.shared import materialize, read_table, without
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without any letter go."""
     found = language_id.predict_documents(docs).where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,8 +96,50 @@ class Slots:
             self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
+class Arena:
+    """Ids of distinct chunks: hash -> slot -> a span of one array."""
+
+    def __init__(self, kind: type, limit: int) -> None:
+        self.kind, self.limit = kind, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = Slots()
+        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.arena, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def put(self, keys: np.ndarray, order: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of new sorted hashes; the ids of ``keys[order]`` come one after another."""
+        a, n = len(self.slots), len(keys)
+        while a + n > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        while self.used + len(flat) > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
+        self.begin[a : a + n] = self.used + np.cumsum(sizes) - sizes
+        self.length[a : a + n] = sizes
+        self.arena[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        slots = np.empty(n, np.int64)
+        slots[order] = np.arange(a, a + n)
+        self.slots.add(keys, slots)
+        return slots
+
+    def ids_of(self, hashes: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in one array, and where each chunk's start; ``learn(keys, first)`` puts unknown ones, of which ``first`` are places."""
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slots) > self.limit:
+            self.clear()
+        slot = self.slots.get(keys)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = learn(keys[new], first[new])
+        sizes = self.length[slot][back].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.arena[gathered(self.begin[slot][back].astype(np.int64), sizes)], total
+
+
 class ChunkIds:
-    """The tokenizer with its table of distinct chunks: hash -> slot in an arena of ids."""
+    """The tokenizer with its table of distinct chunks."""
 
     def __init__(self, tokenizer_file: str, table: int = TABLE) -> None:
         from tokenizers import Tokenizer
@@ -108,18 +150,13 @@ class ChunkIds:
             said = json.load(f)
         pre = said.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and said["model"]["type"] == "BPE"
-        self.limit, self.values, self.powers = table, byte_values(False), Powers()
+        self.values, self.powers = byte_values(False), Powers()
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0]
         self.by_chunk &= len(feed) == 1
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots = Slots()
-        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.arena, self.used = np.zeros(1 << 18, self.kind), 0
+        self.arena = Arena(self.kind, table)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
@@ -149,20 +186,7 @@ class ChunkIds:
             parts.append(self._runs(data, starts[:runs], ends[:runs]))
         if runs < n:
             parts.append(self._ids([data[a:b].tobytes().decode() for a, b in zip(starts[runs:].tolist(), ends[runs:].tolist(), strict=True)]))
-        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a = len(self.slots)
-        while a + n > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        while self.used + len(flat) > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-        self.begin[a : a + n] = self.used + np.cumsum(sizes) - sizes
-        self.length[a : a + n] = sizes
-        self.arena[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        slots = np.empty(n, np.int64)
-        slots[order] = np.arange(a, a + n)
-        self.slots.add(keys, slots)
-        return slots
+        return self.arena.put(keys, order, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the offsets of the rows' ids."""
@@ -176,16 +200,12 @@ class ChunkIds:
         at, letter = cuts(data, offsets)
         starts, ends = at[:-1], at[1:]
         hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ (ends - starts).astype(np.uint64)
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) > self.limit:
-            self.clear()
-        slot = self.slots.get(keys)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            a, b = starts[first[new]], ends[first[new]]
-            letters = np.concatenate([[0], np.cumsum(letter)])
+        letters = np.concatenate([[0], np.cumsum(letter)])
+
+        def learn(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+            a, b = starts[first], ends[first]
             run = (letters[b] - letters[a] == b - a - (data[a] == 0x20)) & (letters[b] > letters[a])
-            slot[new] = self._add(keys[new], data, a, b, run)
-        sizes = self.length[slot][back].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.arena[gathered(self.begin[slot][back].astype(np.int64), sizes)], total[np.searchsorted(at, offsets)]
+            return self._add(keys, data, a, b, run)
+
+        ids, total = self.arena.ids_of(hashes, learn)
+        return ids, total[np.searchsorted(at, offsets)]

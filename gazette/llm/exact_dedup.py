@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.shared import materialize
+from gazette.shared import materialize, without
 
 #: Parts into which the rows of one digest are dealt before the last step.
 SALTS = 16
@@ -59,4 +59,4 @@ def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFram
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents without copies: of equal texts the row with the largest doc_id, all columns kept."""
     dropped = exact_groups(docs, salts=salts).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.operators.components import components
-from gazette.shared import materialize
+from gazette.shared import FEW, materialize, without
 from gazette.llm.textvec import NOT_SPACE, U64, Powers, byte_values, mix, ngrams, slices, utf8, words_of
 
 REGISTERS, BAND = 128, 4
@@ -40,8 +40,6 @@ COLLISION = 1 / 3 / (1 << MANTISSA)
 ERRORS = 5.0
 #: Bands that linked nodes share at least in step 4 (fewer than 4 of 32: one pair in two million at 0.85).
 SHARED = 4
-#: Ids of which the set is wanted are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
-FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -250,4 +248,4 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B00
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """The documents with one of each group of near copies, that with the smallest id; all columns kept."""
     dropped = near_groups(docs, rule).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped)

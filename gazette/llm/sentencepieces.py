@@ -13,17 +13,16 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gazette.llm.textvec import slices, utf8
-from gazette.llm.words import ChunkTable
+from gazette.llm.chunk_ids import Arena, process_cache
+from gazette.llm.textvec import U64, Powers, byte_values, slices, span_hashes, utf8
 
 MARK = "▁"
-#: Distinct words that a task remembers.
-TABLE = 200_000
-
-_PARTS = re.compile(" *[^ ]+| +$")
+#: Distinct words that a worker process remembers.
+TABLE = 3_000_000
 
 
 class Codec:
@@ -40,36 +39,46 @@ class Codec:
         plain, normal, user = proto.trainer_spec, proto.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED
         crossing = any(re.search(f"[^{MARK}]{MARK}", p.piece) or p.type == user for p in proto.pieces)
         self.by_word = not crossing and not plain.treat_whitespace_as_suffix and plain.byte_fallback and normal.name == "identity" and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
-        self.mark = (self.processor.piece_to_id(MARK),)
-        self.table = ChunkTable(self._segment, table)
-
-    def _segment(self, parts: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of marked words, each given without its first marker, which the library adds."""
-        ids = self.processor.encode(parts, num_threads=1)
-        return [(t, ",".join(map(str, t))) for t in (tuple(x) if p else self.mark for p, x in zip(parts, ids, strict=True))]
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """A text's marked words, each without its first marker."""
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [x[1:] for x in _PARTS.findall(" " + text)]
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Ids of each text, and the ids in decimal joined by commas."""
+        self.mark = [self.processor.piece_to_id(MARK)]
+        self.names = [str(k) for k in range(self.processor.get_piece_size())]
+        self.kind = np.uint16 if len(self.names) <= 1 << 16 else np.int32
+        self.values, self.powers = byte_values(False), Powers()
+        self.arena = Arena(self.kind, table)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in one array, and the offsets of the rows' ids."""
+        raw = data.tobytes()
         if not self.by_word:
-            return [(ids, ",".join(map(str, ids))) for ids in self.processor.encode(texts, num_threads=1)]
-        parts = [self.parts(x) for x in texts]
-        self.table.learn(parts)
-        out = []
-        for words in parts:
-            found = [self.table[w] for w in words]
-            out.append((list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])))
-        return out
+            found = self.processor.encode([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
+            return np.fromiter(chain.from_iterable(found), self.kind), np.cumsum([0, *map(len, found)])
+        if MARK.encode() in raw:
+            rows = [raw[a:b].replace(MARK.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            raw, offsets = b"".join(rows), np.cumsum([0, *map(len, rows)])
+            data = np.frombuffer(raw, np.uint8)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        space = data == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        mark = np.concatenate([begins, [True]])
+        mark[offsets] = True
+        at = np.flatnonzero(mark)
+        starts, ends = at[:-1], at[1:]
+        # A row's first word has the library's own marker before whatever markers it starts with; another gives its first one up for that.
+        leads = np.zeros(len(data) + 1, bool)
+        leads[offsets[:-1][np.diff(offsets) > 0]] = True
+        whole = leads[starts]
+        hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ ((ends - starts).astype(U64) * U64(2) + whole.astype(U64))
+
+        def learn(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+            a = starts[first] + ~whole[first]
+            words = [raw[x:y].decode() for x, y in zip(a.tolist(), ends[first].tolist(), strict=True)]
+            found = [ids if w else self.mark for w, ids in zip(words, self.processor.encode(words, num_threads=1), strict=True)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return self.arena.put(keys, np.arange(len(keys)), np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes)
+
+        ids, total = self.arena.ids_of(hashes, learn)
+        return ids, total[np.searchsorted(at, offsets)]
 
 
 def encode_documents(docs: DataFrame, model_file: str, table: int = TABLE, extra: bool = False) -> DataFrame:
@@ -82,16 +91,20 @@ def encode_documents(docs: DataFrame, model_file: str, table: int = TABLE, extra
     schema = pa.schema(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_file, table)
+        codec = process_cache(("pieces", model_file, table), lambda: Codec(model_file, table))
+        name, decode = codec.names.__getitem__, codec.processor.decode
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
-                encoded = codec.encode(batch.column(1)[a:b].fill_null("").to_pylist())
-                decoded = codec.processor.decode([x[0] for x in encoded]) if encoded else []
-                arrays = [batch.column(0)[a:b], pa.array([len(x[0]) for x in encoded], pa.int64()), pa.array([sha(x[1]) for x in encoded]), pa.array(map(sha, decoded), pa.string())]
-                if extra:
-                    arrays += [pa.array([x[0] for x in encoded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                o = offsets[a : b + 1]
+                flat, bounds = codec.encode(data[o[0] : o[-1]], o - o[0])
+                rows = []
+                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = flat[x:y].tolist()
+                    text = decode(ids)
+                    rows.append((len(ids), sha(",".join(map(name, ids))), sha(text), *((ids, text) if extra else ())))
+                arrays = [batch.column(0)[a:b], *(pa.array(list(x), t) for x, (_, t) in zip(zip(*rows, strict=True), columns[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     said = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * extra

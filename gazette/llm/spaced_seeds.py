@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.textvec import ALNUM, U64, Powers, byte_values, lower_latin, mix, slices, utf8, words_of
+from gazette.shared import without
 
 MASKS = ("1111", "11101", "10111", "11011")
 #: Words that an overlap must span; equal words for each ten.
@@ -166,4 +167,4 @@ def spark_broadcast(docs: DataFrame, queries: Block):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no benchmark item, all columns kept."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark))
