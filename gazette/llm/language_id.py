@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.textvec import ALNUM, U64, lower_latin, mix, slices, utf8
+from gazette.llm.textvec import ALNUM, U64, lower_latin, mix, slices, tidy, utf8
 
 COLUMNS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -123,7 +123,7 @@ def train(labelled: DataFrame, size: int = SAMPLE) -> Model | None:
                 bits = np.packbits(presence(data[o[0] : o[-1]], o - o[0]).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([x.tobytes() for x in bits], pa.binary())], names=["label", "hash", "bits"])
 
-    rows = sample(labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'"), "lang", size).mapInArrow(run, "label string, hash long, bits binary").collect()
+    rows = sample(labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'"), "lang", size).mapInArrow(tidy(run), "label string, hash long, bits binary").collect()
     taken: dict[str, int] = {}
     kept = []
     for r in sorted(rows, key=lambda r: (r.label, r.hash, r.bits)):
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     langs, scores = fitted.predict(presence(part, o - o[0]), known)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

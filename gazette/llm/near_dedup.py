@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators.components import components
 from gazette.shared import FEW, materialize, without
-from gazette.llm.textvec import NOT_SPACE, U64, Powers, byte_values, mix, ngrams, slices, utf8, words_of
+from gazette.llm.textvec import NOT_SPACE, Powers, U64, byte_values, mix, ngrams, slices, tidy, utf8, words_of
 
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (packed, bands)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FINGERPRINT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _FINGERPRINT)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -117,7 +117,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("wanted")).select("doc_id", "text")
-    return materialize(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    return materialize(texts.mapInArrow(tidy(run), "node long, shingles array<long>"), "shingles")
 
 
 def equal_registers(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.ftrl import fit, held_out, sample_ids, sigmoid
-from gazette.llm.textvec import ALNUM, NOT_SPACE, U64, Powers, byte_values, mix, slices, span_hashes, utf8
+from gazette.llm.textvec import ALNUM, NOT_SPACE, Powers, U64, byte_values, mix, slices, span_hashes, tidy, utf8
 
 #: Columns of the model; column 0 is the constant. Labelled texts taken of each class.
 COLUMNS, SAMPLE = 1 << 20, 1500
@@ -83,7 +83,7 @@ def collect(docs: DataFrame, ids: DataFrame) -> list[tuple[np.ndarray, np.ndarra
                 arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "columns", "shares"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, columns binary, shares binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(run), "doc_id long, label int, columns binary, shares binary").collect()
     rows.sort(key=lambda r: (hash_of(r.doc_id), r.label, r.columns))
     return [(np.frombuffer(r.columns, np.int32).astype(np.int64), np.frombuffer(r.shares, np.float32).astype(np.float64), float(r.label)) for r in rows]
 
@@ -113,7 +113,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 total = np.bincount(row, own[column], b - a) * (SCALE / np.maximum(1, tokens)) + own[0]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sigmoid(total), pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gazette.llm.chunk_ids import Arena, process_cache
-from gazette.llm.textvec import U64, Powers, byte_values, slices, span_hashes, utf8
+from gazette.llm.textvec import Powers, U64, byte_values, slices, span_hashes, tidy, utf8
 
 MARK = "▁"
 #: Distinct words that a worker process remembers.
-TABLE = 3_000_000
+TABLE = 1_000_000
 
 
 class Codec:
@@ -108,4 +108,4 @@ def encode_documents(docs: DataFrame, model_file: str, table: int = TABLE, extra
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     said = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * extra
-    return docs.select("doc_id", "text").mapInArrow(run, said)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), said)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.textvec import ALNUM, U64, Powers, byte_values, lower_latin, mix, slices, utf8, words_of
+from gazette.llm.textvec import ALNUM, Powers, U64, byte_values, lower_latin, mix, slices, tidy, utf8, words_of
 from gazette.shared import without
 
 MASKS = ("1111", "11101", "10111", "11011")
@@ -157,7 +157,7 @@ def search(docs: DataFrame, queries: Block, masks: tuple[str, ...], least: int)
                     rows.append(dict(zip(schema.names, (doc_ids[a + row], table.ids[item], *rest), strict=True)))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), RESULT)
 
 
 def spark_broadcast(docs: DataFrame, queries: Block):

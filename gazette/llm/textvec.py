@@ -6,20 +6,51 @@ working set of a task does not depend on how many rows Arrow puts in a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once (a longer document is a slice of its own).
 SLICE = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+def release() -> None:
+    """Give memory that is free back to the system; workers live on between tasks and share a limit with their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that releases memory when its task ends; the session's Arrow batches get ``BATCH`` bytes at most.
+
+    Both the JVM, outside its heap, and the worker hold a batch whole, and long texts make the default of 64 MB.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and int(spark.conf.get(_BATCH_KEY).rstrip("b")) > BATCH:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that close inputs have unrelated outputs."""
     x = x ^ (x >> U64(31))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gazette.llm.chunk_ids import ChunkIds, process_cache
 from gazette.llm.files import attempt_name, open_fs
 from gazette.shared import materialize, new_path, remove
-from gazette.llm.textvec import U64, mix, slices, utf8
+from gazette.llm.textvec import U64, mix, slices, tidy, utf8
 
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 8, 9, 128, 2048
@@ -185,7 +185,7 @@ def ingest(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> Data
         packer.close()
         yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"stored": packer.take()}], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _INGEST)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), _INGEST)
 
 
 def compact(entries: DataFrame, path: str) -> DataFrame:
@@ -213,7 +213,7 @@ def compact(entries: DataFrame, path: str) -> DataFrame:
                 packer.close()
                 yield pa.RecordBatch.from_pylist(packer.take(), schema=_INDEX)
 
-    packs.mapInArrow(rewrite, f"digest binary, {PLACE}").write.parquet(f"{path}/index")
+    packs.mapInArrow(tidy(rewrite), f"digest binary, {PLACE}").write.parquet(f"{path}/index")
     return spark.read.schema(f"digest binary, {PLACE}").parquet(f"{path}/index")
 
 
@@ -229,7 +229,7 @@ def sweep(path: str, entries: DataFrame, index: DataFrame) -> None:
                     system.delete_file(f"{base}/{name}")
             yield batch
 
-    dead.mapInArrow(delete, "file string").write.format("noop").mode("overwrite").save()
+    dead.mapInArrow(tidy(delete), "file string").write.format("noop").mode("overwrite").save()
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> None:
@@ -312,7 +312,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                     rows.append(row | ({"ids": ids.tolist()} if with_ids else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return near.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return near.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:

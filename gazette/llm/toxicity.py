@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.ftrl import fit, held_out, sample_ids, sigmoid
 from gazette.llm.quality import hash_of
-from gazette.llm.textvec import ALNUM, U64, Powers, byte_values, mix, slices, span_hashes, utf8, word_spans
+from gazette.llm.textvec import ALNUM, Powers, U64, byte_values, mix, slices, span_hashes, tidy, utf8, word_spans
 
 #: Bytes of a word's beginning that make a pattern.
 BEGINNINGS = (4, 5, 6, 7)
@@ -186,7 +186,7 @@ def collect(docs: DataFrame, labels: DataFrame, size: int, unlabelled: int) -> l
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(sets, pa.binary())], names=["doc_id", "label", "marks"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").where(F.col("label").isNotNull() | some)
-    rows = joined.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, marks binary").collect()
+    rows = joined.select("doc_id", "text", "label").mapInArrow(tidy(run), "doc_id long, label int, marks binary").collect()
     rows.sort(key=lambda r: (hash_of(r.doc_id), -1 if r.label is None else r.label, r.marks))
     return [(r.doc_id, np.nan if r.label is None else float(r.label), np.frombuffer(r.marks, U64)) for r in rows]
 
@@ -217,7 +217,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 scores = own.score(*marks(data[o[0] : o[-1]], o - o[0], powers, values), b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(scores, pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:

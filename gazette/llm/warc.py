@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.files import attempt_name, open_fs
 from gazette.shared import materialize, new_path
-from gazette.llm.textvec import utf8
+from gazette.llm.textvec import tidy, utf8
 
 #: Bytes of a block in one record; longer blocks are segmented.
 SEGMENT = 16 << 10
@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: i
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes"), x, strict=True))], schema=manifest)
 
     manifest = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-    files = mark_revisits(pages, least).mapInArrow(write, "file string, records long, bytes long")
+    files = mark_revisits(pages, least).mapInArrow(tidy(write), "file string, records long, bytes long")
     files.write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest")
 
@@ -205,7 +205,7 @@ def parse_archives(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     schema = pa.schema([(k, kinds[t]) for k, t in (x.split() for x in RECORD.split(", "))])
     files = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest")
     tasks = max(1, min(files.count(), 100_000))
-    return files.repartition(tasks, "file").mapInArrow(parse, RECORD)
+    return files.repartition(tasks, "file").mapInArrow(tidy(parse), RECORD)
 
 
 def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -271,7 +271,7 @@ def reassemble(segments: DataFrame, payloads: bool) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
     parts = F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
     groups = segments.groupBy("origin").agg(parts, F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"))
-    return groups.mapInArrow(decode, "page_id long, url string, digest string, payload binary, payload_bytes long")
+    return groups.mapInArrow(tidy(decode), "page_id long, url string, digest string, payload binary, payload_bytes long")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
