@@ -18,7 +18,7 @@ import numpy as np
 from gazette.llm.textvec import Powers, byte_values, span_hashes
 
 #: Distinct chunks that a worker process remembers.
-TABLE = 1_000_000
+TABLE = 3_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
