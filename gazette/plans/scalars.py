@@ -37,7 +37,7 @@ def t02(spark, sf):
 
 @query("t03_comma_tags", P + "SELECT post_id, array_to_string(list_filter(list_transform(string_split(left(content, 300), ','), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> ''), '|') AS tags FROM posts")
 def t03(spark, sf):
-    return frames.posts(spark, sf).select("post_id", F.array_join(text.tags_of(F.left("content", F.lit(300))), "|").alias("tags"))
+    return frames.posts(spark, sf).select("post_id", F.array_join(text.tags_of(F.col("content")), "|").alias("tags"))
 
 
 @query(
