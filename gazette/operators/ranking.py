@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,23 @@ def by_relevance(posts: DataFrame) -> list[Column]:
     return [F.desc("score"), F.desc("published"), F.asc("ord")]
 
 
-def ranked(posts: DataFrame, ties: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """With ``rank`` from 1 over all rows by score and date, then by ``ties``, without bringing all rows to one task.
+def counted_rank(rows: DataFrame, groups: tuple[str, ...], own: list[Column], name: str = "rank") -> DataFrame:
+    """With ``name`` from 1 over all rows, by the columns ``groups`` falling (nulls last) and within equal ones by ``own``.
 
-    Rows are counted by score and day; a row's rank is the number of rows in better groups and its
-    place within its own. What the global window orders is one row for each score and day.
+    Rows are counted by group; a row's rank is the number of rows in better groups and its place
+    within its own, so all rows never come to one task. What the global window orders is one row for each group.
     """
-    day = F.to_date("published")
-    keyed = posts.withColumn("day", day)
-    before = Window.orderBy(F.desc("score"), F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = keyed.groupBy("score", "day").agg(F.count(F.lit(1)).alias("n")).select("score", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("score", "day").orderBy(F.desc("published"), *ties)
-    placed = keyed.withColumn("place", F.row_number().over(own)).join(groups, ["score", "day"])
-    return placed.withColumn("rank", (F.col("before") + F.col("place")).cast("long")).drop("day", "place", "before")
+    before = Window.orderBy(*map(F.desc, groups)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(g).alias(f"_{g}") for g in groups], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*groups).orderBy(*own)))
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups])
+    return placed.join(sizes, same).withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_place", "_before", *[f"_{g}" for g in groups])
+
+
+def ranked(posts: DataFrame, ties: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """With ``rank`` from 1 over all rows by score and date, then by ``ties``, counted by score and day."""
+    keyed = posts.withColumn("day", F.to_date("published"))
+    return counted_rank(keyed, ("score", "day"), [F.desc("published"), *map(F.asc, ties)]).drop("day")
 
 
 def select_for_digest(posts: DataFrame, max_posts: int | None, max_per_source: int | None) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gazette import fixed
 from gazette.functions import text
 from gazette.operators import frames
-from gazette.operators.ranking import greedy_dedup, ranked, select_for_digest
+from gazette.operators.ranking import counted_rank, greedy_dedup, ranked, select_for_digest
 from gazette.plans.registry import query
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -98,10 +97,9 @@ def w05(spark, sf):
 SELECT post_id, file, row_number() OVER (PARTITION BY source ORDER BY score DESC, day DESC, file) AS place FROM named""",
 )
 def w06(spark, sf):
-    rows = frames.scored(spark, sf).where(F.dayofmonth("published") == 3)
-    named = rows.select("post_id", "source", "score", F.date_format("published", "yyyy-MM-dd").alias("day"), F.concat("source", F.lit("-"), F.lpad(F.col("post_id").cast("string"), 9, "0"), F.lit(".json")).alias("file"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), F.desc("day"), "file"))
-    return named.select("post_id", "file", place.alias("place"))
+    rows = frames.scored(spark, sf)
+    named = rows.select("post_id", "score", F.date_format("published", "yyyy-MM-dd").alias("day"), F.concat("source", F.lit("-"), F.lpad(F.col("post_id").cast("string"), 9, "0"), F.lit(".json")).alias("file"))
+    return counted_rank(named, ("score", "day"), [F.asc("file")], "place").select("post_id", "file", "place")
 
 
 @query(

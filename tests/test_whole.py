@@ -3,7 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from gazette.operators import frames
+from gazette.operators.ranking import counted_rank
 from gazette.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +20,19 @@ def texts(spark):
 def test_comma_tags_of_whole_texts(spark):
     plain = {k: "|".join(x.strip() for x in t.split(",") if x.strip()) for k, t in texts(spark).items()}
     assert {r.post_id: r.tags for r in catalog.QUERIES["t03_comma_tags"](spark, SF).collect()} == plain
+
+
+def test_render_order_of_all_rows(spark):
+    rows = frames.scored(spark, SF).select("post_id", "source", "score", F.date_format("published", "yyyy-MM-dd").alias("day")).collect()
+    files = {r.post_id: f"{r.source}-{r.post_id:09d}.json" for r in rows}
+    order = sorted(sorted(rows, key=lambda r: files[r.post_id]), key=lambda r: (r.score, r.day), reverse=True)
+    plain = {r.post_id: (files[r.post_id], k) for k, r in enumerate(order, 1)}
+    got = catalog.QUERIES["w06_render_order"](spark, SF).collect()
+    assert len(got) == len(rows)
+    assert {r.post_id: (r.file, r.place) for r in got} == plain
+
+
+def test_rows_without_score_or_day_have_ranks(spark):
+    rows = [("a", 0.5, "2024-01-02"), ("b", None, "2024-01-02"), ("c", 0.5, None), ("d", None, None), ("e", 0.9, "2024-01-01")]
+    got = counted_rank(spark.createDataFrame(rows, "file string, score double, day string"), ("score", "day"), [F.asc("file")]).orderBy("rank").collect()
+    assert [(r.file, r["rank"]) for r in got] == [("e", 1), ("a", 2), ("c", 3), ("b", 4), ("d", 5)]
