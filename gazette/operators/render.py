@@ -12,6 +12,7 @@ from gazette import fixed
 from gazette.functions import scores, text, urls
 from gazette.functions.html import visible_text_udf
 from gazette.operators.joins import with_logo
+from gazette.operators.ranking import counted_rank
 
 
 def articles(posts: DataFrame, logos: DataFrame, language: str) -> DataFrame:
@@ -19,8 +20,6 @@ def articles(posts: DataFrame, logos: DataFrame, language: str) -> DataFrame:
 
     Order is by score, then day, then file name; a row without a summary is left out.
     """
-    from pyspark.sql import Window
-
     rows = with_logo(posts.where(F.coalesce("summary", F.lit("")) != ""), logos)
     view = rows.withColumns(
         {
@@ -31,7 +30,7 @@ def articles(posts: DataFrame, logos: DataFrame, language: str) -> DataFrame:
             "file": text.post_filename(F.col("title"), F.col("source"), F.col("link")),
         }
     )
-    return view.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("day"), "file")))
+    return counted_rank(view, ("score", "day"), [F.asc("file")], "place")
 
 
 def card(article: dict[str, Any], language: str) -> str:

@@ -1,6 +1,8 @@
 """Registered queries cover whole texts and all rows: their results against plain loops over the provided tables."""
 
 import os
+import re
+from hashlib import sha1
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,3 +38,24 @@ def test_rows_without_score_or_day_have_ranks(spark):
     rows = [("a", 0.5, "2024-01-02"), ("b", None, "2024-01-02"), ("c", 0.5, None), ("d", None, None), ("e", 0.9, "2024-01-01")]
     got = counted_rank(spark.createDataFrame(rows, "file string, score double, day string"), ("score", "day"), [F.asc("file")]).orderBy("rank").collect()
     assert [(r.file, r["rank"]) for r in got] == [("e", 1), ("a", 2), ("c", 3), ("b", 4), ("d", 5)]
+
+
+def test_article_view_of_all_rows(spark):
+    rows = [r for r in frames.scored(spark, SF).withColumn("day", F.date_format("published", "yyyy-MM-dd")).collect() if r.content]
+    name = lambda r: f"{r.source}-{re.sub(r'[^\w\s-]', '', r.title.lower()).replace(' ', '_')}-{sha1(r.link.encode()).hexdigest()[:8]}.json"
+    order = sorted(sorted(rows, key=name), key=lambda r: (r.score, r.day), reverse=True)
+    plain = {r.post_id: (r.source.title(), r.day, max(1, round(len(r.content.split()) / 200)), k) for k, r in enumerate(order, 1)}
+    got = catalog.QUERIES["h20_article_view"](spark, SF).collect()
+    assert {r.post_id: (r.label, r.day, r.minutes, r.place) for r in got} == plain
+
+
+def test_article_view_brings_rows_to_no_single_task(spark):
+    plan = catalog.QUERIES["h20_article_view"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    alone = re.findall(r"row_number\(\) windowspecdefinition\(\w+#\d+ (?:ASC|DESC)", plan)
+    assert "row_number()" in plan and not alone
+
+
+def test_posts_of_all_days_are_written(spark):
+    rows = frames.scored(spark, SF).withColumn("date", F.date_format("published", "yyyy-MM-dd")).collect()
+    plain = sorted((f"new{r.post_id}" if r.date == "2024-01-09" else r.title, r.date, r.score) for r in rows)
+    assert sorted(map(tuple, catalog.QUERIES["snk01_posts_by_day"](spark, SF).select("title", "date", "score").collect())) == plain
