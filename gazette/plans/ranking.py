@@ -137,7 +137,7 @@ f AS (SELECT post_id, word, min(i) AS i FROM w GROUP BY ALL), r AS (SELECT *, ro
 SELECT post_id, string_agg(word, '|' ORDER BY i) AS tags FROM r WHERE n <= 5 GROUP BY post_id""",
 )
 def s06(spark, sf):
-    words = F.split(F.left("content", F.lit(200)), " ")
+    words = F.split("content", " ")
     return frames.posts(spark, sf).select("post_id", F.array_join(text.first_tags(words), "|").alias("tags"))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import re
+import tempfile
 from hashlib import sha1
 
 import pytest
@@ -59,3 +60,15 @@ def test_posts_of_all_days_are_written(spark):
     rows = frames.scored(spark, SF).withColumn("date", F.date_format("published", "yyyy-MM-dd")).collect()
     plain = sorted((f"new{r.post_id}" if r.date == "2024-01-09" else r.title, r.date, r.score) for r in rows)
     assert sorted(map(tuple, catalog.QUERIES["snk01_posts_by_day"](spark, SF).select("title", "date", "score").collect())) == plain
+
+
+def test_tag_cap_of_whole_texts(spark):
+    """A text whose first 200 characters are one word, or cut one, has five tags as well."""
+    long = "a" * 250
+    for text, tags in ((f"{long} b c d e f", [long, "b", "c", "d", "e"]), ("x " * 150 + "y z", ["x", "y", "z"])):
+        frame = spark.createDataFrame([(1, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+        with tempfile.TemporaryDirectory() as folder:
+            frame.write.parquet(f"{folder}/documents.parquet")
+            assert catalog.QUERIES["s06_tag_cap"](spark, folder).collect()[0].tags == "|".join(tags)
+    plain = {k: "|".join(list(dict.fromkeys(t.split(" ")))[:5]) for k, t in texts(spark).items()}
+    assert {r.post_id: r.tags for r in catalog.QUERIES["s06_tag_cap"](spark, SF).collect()} == plain
