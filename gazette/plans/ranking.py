@@ -108,8 +108,10 @@ def w06(spark, sf):
 FROM (SELECT * FROM scored ORDER BY score DESC, published DESC, ord LIMIT 20)""",
 )
 def w07(spark, sf):
-    best = select_for_digest(frames.scored(spark, sf), 20, None)
-    return best.select("post_id", F.concat(F.lit("newsletter-dev-2024-01-31-en-a"), F.lpad(F.col("position").cast("string"), 2, "0"), F.lit(".html")).alias("name"))
+    placed = select_for_digest(frames.scored(spark, sf), None, None)
+    number = F.col("position").cast("string")
+    padded = F.when(F.col("position") < 100, F.lpad(number, 2, "0")).otherwise(number)
+    return placed.select("post_id", F.concat(F.lit("newsletter-dev-2024-01-31-en-a"), padded, F.lit(".html")).alias("name"))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators import frames
 from gazette.operators.ranking import counted_rank
+from gazette.operators.render import file_name
 from gazette.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,10 @@ def test_tag_cap_of_whole_texts(spark):
             assert catalog.QUERIES["s06_tag_cap"](spark, folder).collect()[0].tags == "|".join(tags)
     plain = {k: "|".join(list(dict.fromkeys(t.split(" ")))[:5]) for k, t in texts(spark).items()}
     assert {r.post_id: r.tags for r in catalog.QUERIES["s06_tag_cap"](spark, SF).collect()} == plain
+
+
+def test_every_article_has_its_own_name(spark):
+    rows = sorted(frames.scored(spark, SF).select("post_id", "score", "published", "ord").collect(), key=lambda r: (-r.score, -r.published.timestamp(), r.ord))
+    plain = {r.post_id: file_name("newsletter", "dev", "2024-01-31", "en", k) for k, r in enumerate(rows, 1)}
+    assert len(set(plain.values())) == len(rows) > 100
+    assert {r.post_id: r.name for r in catalog.QUERIES["w07_article_names"](spark, SF).collect()} == plain
