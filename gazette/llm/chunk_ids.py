@@ -15,7 +15,7 @@ import types
 
 import numpy as np
 
-from gazette.llm.textvec import Powers, byte_values, span_hashes
+from gazette.llm.textvec import _MASKS, eights, gathered, mix, span_hashes
 
 #: Distinct chunks that a worker process remembers.
 TABLE = 3_000_000
@@ -56,12 +56,6 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(mark), letter
 
 
-def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of all elements of spans, span by span."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    return np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])
-
-
 class Slots:
     """Sorted hashes with their slots: a large table, and a small one that is merged into it now and then."""
 
@@ -96,46 +90,86 @@ class Slots:
             self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
+class Chunks:
+    """Spans of a slice's bytes with their hashes; ``flag`` is a bit that tells equal spans apart."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray | None = None) -> None:
+        self.data, self.starts, self.ends = data, starts, ends
+        self.marks = (ends - starts) * 2 + (0 if flag is None else flag)
+        self.hashes = span_hashes(data, starts, ends)
+        if flag is not None:
+            self.hashes = mix(self.hashes + flag.astype(np.uint64))
+        self.heads = eights(data)[starts] & _MASKS[np.minimum(ends - starts, 8)]
+
+    def tails(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes beyond the eighth of some spans, and how many each has."""
+        sizes = np.maximum(self.ends[which] - self.starts[which] - 8, 0)
+        return self.data[gathered(self.starts[which] + 8, sizes)], sizes
+
+
 class Arena:
-    """Ids of distinct chunks: hash -> slot -> a span of one array."""
+    """Ids of distinct chunks: hash -> slot -> a span of one array, with the chunk's bytes to compare."""
 
     def __init__(self, kind: type, limit: int) -> None:
         self.kind, self.limit = kind, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slots = Slots()
-        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.slots, rows = Slots(), 1 << 16
+        self.begin, self.length, self.tail = (np.zeros(rows, np.int32) for _ in range(3))
+        self.mark, self.head = np.zeros(rows, np.int64), np.zeros(rows, np.uint64)
         self.arena, self.used = np.zeros(1 << 18, self.kind), 0
+        self.text, self.written = np.zeros(1 << 18, np.uint8), 0
 
-    def put(self, keys: np.ndarray, order: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Slots of new sorted hashes; the ids of ``keys[order]`` come one after another."""
-        a, n = len(self.slots), len(keys)
+    def put(self, chunks: Chunks, which: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of new chunks; their ids come one after another."""
+        a, n = len(self.slots), len(which)
         while a + n > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.tail, self.mark, self.head = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.tail, self.mark, self.head))
         while self.used + len(flat) > len(self.arena):
             self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
+        rest, long = chunks.tails(which)
+        while self.written + len(rest) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.begin[a : a + n] = self.used + np.cumsum(sizes) - sizes
         self.length[a : a + n] = sizes
+        self.tail[a : a + n] = self.written + np.cumsum(long) - long
+        self.mark[a : a + n], self.head[a : a + n] = chunks.marks[which], chunks.heads[which]
         self.arena[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        slots = np.empty(n, np.int64)
-        slots[order] = np.arange(a, a + n)
-        self.slots.add(keys, slots)
+        self.text[self.written : self.written + len(rest)] = rest
+        self.used, self.written = self.used + len(flat), self.written + len(rest)
+        slots, order = np.arange(a, a + n), np.argsort(chunks.hashes[which])
+        self.slots.add(chunks.hashes[which][order], slots[order])
         return slots
 
-    def ids_of(self, hashes: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in one array, and where each chunk's start; ``learn(keys, first)`` puts unknown ones, of which ``first`` are places."""
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def same(self, chunks: Chunks, slot: np.ndarray) -> bool:
+        """Whether every chunk is, byte for byte, the one that its slot was made for."""
+        if not ((self.mark[slot] == chunks.marks).all() and (self.head[slot] == chunks.heads).all()):
+            return False
+        rest, long = chunks.tails(more := np.flatnonzero(chunks.ends - chunks.starts > 8))
+        return bool((self.text[gathered(self.tail[slot[more]].astype(np.int64), long)] == rest).all())
+
+    def ids_of(self, chunks: Chunks, learn) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all chunks in one array, and where each chunk's start; ``learn(which)`` gives ids and sizes of unknown ones.
+
+        None if two different chunks share a hash: then the table can't speak for them.
+        """
+        keys, first, back = np.unique(chunks.hashes, return_index=True, return_inverse=True)
         if len(self.slots) > self.limit:
             self.clear()
         slot = self.slots.get(keys)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            slot[new] = learn(keys[new], first[new])
-        sizes = self.length[slot][back].astype(np.int64)
+            which, flat, sizes = learn(first[new])
+            where = np.empty(len(chunks.hashes), np.int64)
+            where[which] = self.put(chunks, which, flat, sizes)
+            slot[new] = where[first[new]]
+        slot = slot[back]
+        if not self.same(chunks, slot):
+            return None
+        sizes = self.length[slot].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.arena[gathered(self.begin[slot][back].astype(np.int64), sizes)], total
+        return self.arena[gathered(self.begin[slot].astype(np.int64), sizes)], total
 
 
 class ChunkIds:
@@ -150,7 +184,6 @@ class ChunkIds:
             said = json.load(f)
         pre = said.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and said["model"]["type"] == "BPE"
-        self.values, self.powers = byte_values(False), Powers()
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0]
         self.by_chunk &= len(feed) == 1
@@ -176,36 +209,32 @@ class ChunkIds:
         stops = np.concatenate([np.flatnonzero(flat == self.feed), [len(flat)]])
         return flat[flat != self.feed], np.diff(stops, prepend=-1) - 1
 
-    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """Slots for new chunks, given by their hashes in order and their places."""
-        order = np.concatenate([np.flatnonzero(run), np.flatnonzero(~run)])
-        n, runs = len(keys), int(run.sum())
-        starts, ends = starts[order], ends[order]
-        parts = []
-        if runs:
-            parts.append(self._runs(data, starts[:runs], ends[:runs]))
-        if runs < n:
-            parts.append(self._ids([data[a:b].tobytes().decode() for a, b in zip(starts[runs:].tolist(), ends[runs:].tolist(), strict=True)]))
-        return self.arena.put(keys, order, *(np.concatenate(x) for x in zip(*parts, strict=True)))
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the offsets of the rows' ids."""
-        raw = data.tobytes()
         if not len(data):
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
-        if not self.by_chunk:
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            ids, sizes = self._ids(texts)
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        found = self._by_chunk(data, offsets) if self.by_chunk else None
+        if found is not None:
+            return found
+        raw = data.tobytes()
+        ids, sizes = self._ids([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _by_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same from the table; None if it can't tell two chunks apart."""
         at, letter = cuts(data, offsets)
-        starts, ends = at[:-1], at[1:]
-        hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ (ends - starts).astype(np.uint64)
-        letters = np.concatenate([[0], np.cumsum(letter)])
+        chunks, letters = Chunks(data, at[:-1], at[1:]), np.concatenate([[0], np.cumsum(letter)])
 
-        def learn(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-            a, b = starts[first], ends[first]
+        def learn(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = chunks.starts[which], chunks.ends[which]
             run = (letters[b] - letters[a] == b - a - (data[a] == 0x20)) & (letters[b] > letters[a])
-            return self._add(keys, data, a, b, run)
-
-        ids, total = self.arena.ids_of(hashes, learn)
-        return ids, total[np.searchsorted(at, offsets)]
+            parts = []
+            if run.any():
+                parts.append((which[run], *self._runs(data, a[run], b[run])))
+            if not run.all():
+                other = ~run
+                parts.append((which[other], *self._ids([data[x:y].tobytes().decode() for x, y in zip(a[other].tolist(), b[other].tolist(), strict=True)])))
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+        found = self.arena.ids_of(chunks, learn)
+        return None if found is None else (found[0], found[1][np.searchsorted(at, offsets)])

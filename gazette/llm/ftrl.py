@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.language_id import fold
+from gazette.shared import materialize
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -41,12 +42,13 @@ def held_out(doc_id):
     return F.coalesce(fold(doc_id, 3) == 1, F.lit(True))
 
 
+def hash_of(doc_id: int) -> int:
+    """An order of ids that has nothing to do with theirs."""
+    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) ^ (doc_id >> 7)
+
+
 def sample_ids(labels: DataFrame, label: str, size: int) -> DataFrame:
-    """(doc_id, label): about ``size`` to twice ``size`` rows of each class (all, if fewer), by a hash of the id."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label IN (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    space = 1 << 30
-    part = F.lit(0)
-    for k, n in sorted(counts.items()):
-        part = F.when(F.col("label") == k, min(space, 2 * size * space // n)).otherwise(part)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < part)
+    """(doc_id, label): of each class the 2 * ``size`` rows (all, if fewer) whose ids come first by a hash; an exact bound."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("doc_id"))).distinct()
+    taken = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * size) for k in (0, 1)]
+    return materialize(taken[0].unionByName(taken[1]), "sample")

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.textvec import ALNUM, U64, lower_latin, mix, slices, tidy, utf8
+from gazette.llm.textvec import ALNUM, U64, lower_latin, mix, slices, tidy, utf8, written
 
 COLUMNS = 1 << 13
+#: Texts whose presence rows are held at once.
+ROWS = 128
 ORDERS = (1, 2, 3)
 #: Labelled texts taken for each language, landmarks among them, and the ridge.
 SAMPLE, LANDMARKS, RIDGE = 300, 16, 1e-3
@@ -118,12 +120,14 @@ def train(labelled: DataFrame, size: int = SAMPLE) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, rows=ROWS):
                 o = offsets[a : b + 1]
                 bits = np.packbits(presence(data[o[0] : o[-1]], o - o[0]).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([x.tobytes() for x in bits], pa.binary())], names=["label", "hash", "bits"])
 
-    rows = sample(labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'"), "lang", size).mapInArrow(tidy(run), "label string, hash long, bits binary").collect()
+    sampled = sample(labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'"), "lang", size).mapInArrow(tidy(run), "label string, hash long, bits binary")
+    # One text for each id, so rows that repeat one don't outgrow the sample.
+    rows = written(sampled, "language-sample").groupBy("label", "hash").agg(F.min("bits").alias("bits")).collect()
     taken: dict[str, int] = {}
     kept = []
     for r in sorted(rows, key=lambda r: (r.label, r.hash, r.bits)):
@@ -145,7 +149,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         fitted = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, rows=ROWS):
                 o = offsets[a : b + 1]
                 part = data[o[0] : o[-1]]
                 sums = np.concatenate([[0], np.cumsum(ALNUM[part] & ~((part >= 48) & (part < 58)) & (part < 128))])[o - o[0]]
@@ -158,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     langs, scores = fitted.predict(presence(part, o - o[0]), known)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double"), "languages")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,6 +171,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict_documents(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, learned from the rows that aren't held out.
+
+    Texts that are null, empty or without a letter are ``und``. Rows that repeat give rows that repeat; of
+    rows that repeat a sampled id one takes part in training. A null doc_id stays null and counts as held
+    out. Of equal values the language first by name is taken. Where no row says its language every text is
+    ``und``; an empty table gives an empty result. Columns other than doc_id, text and lang are not read.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), size)
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

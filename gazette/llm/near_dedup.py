@@ -7,17 +7,21 @@
 3. In each bucket every node is paired with the bucket's head only, the node that meets most others. Pairs whose Jaccard similarity,
    estimated from the registers and corrected for collisions, is far below the threshold are left out;
    the others are verified on full sets. Links give components.
-4. A link that step 3 did not see joins two components. Nodes that share several bands with a node of
-   another component are its only ends. They are joined on the rarest shingles of their sets: linked
-   sets must share one among the first ``n - least overlap + 1``, at positions that leave room for
-   the overlap. What is found is verified on full sets, and components are made again.
-
-So buckets, however large, never become all pairs, and shingles that many texts share are never
-join keys unless a node has no rarer ones.
+4. A link that step 3 did not see joins two components. Its ends share several bands: in a bucket of few
+   nodes of about their size each node is held against the others, which is a bounded number for each;
+   a node that is in several larger ones with nodes of other components counts without looking. These
+   *open* nodes are joined on the rarest shingles of their sets: of two linked sets the larger has one of
+   its first ``n - least overlap + 1`` among the smaller's first ``m - least overlap with larger ones + 1``,
+   at positions that leave room for the overlap. A shingle that many open nodes hold is dealt over
+   several tasks. What is found is verified on full sets, and components are made again.
+
+So no bucket, however large, becomes all pairs or one task's work, and shingles that many texts share are
+never join keys unless a node has no rarer ones.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -28,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.operators.components import components
-from gazette.shared import FEW, materialize, without
-from gazette.llm.textvec import NOT_SPACE, Powers, U64, byte_values, mix, ngrams, slices, tidy, utf8, words_of
+from gazette.shared import materialize
+from gazette.llm.rows import FEW, without
+from gazette.llm.textvec import NOT_SPACE, U64, lower_ascii, mix, ngrams, slices, tidy, utf8, words_of, written
 
 REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
@@ -38,8 +43,12 @@ MANTISSA = 10
 COLLISION = 1 / 3 / (1 << MANTISSA)
 #: Standard errors by which an estimate may fall short of the threshold.
 ERRORS = 5.0
-#: Bands that linked nodes share at least in step 4 (fewer than 4 of 32: one pair in two million at 0.85).
-SHARED = 4
+#: Chance that two linked nodes share fewer bands than step 4 looks for.
+MISSED = 2e-6
+#: Nodes of a bucket that are held against each other; in larger buckets none are.
+SMALL = 64
+#: Open nodes with a shingle that one task joins; more are dealt over several.
+DEALT = 1000
 
 
 @dataclass(frozen=True)
@@ -49,6 +58,14 @@ class Rule:
     words: int = 5
     percent: int = 80
 
+    @property
+    def shared(self) -> int:
+        """Bands that linked nodes share at least, but for a chance of ``MISSED``: 4 at 0.85, 2 at 0.8."""
+        one, k, below = (self.percent / 100) ** BAND, 0, 0.0
+        while below + (next_ := math.comb(BANDS, k) * one**k * (1 - one) ** (BANDS - k)) <= MISSED:
+            below, k = below + next_, k + 1
+        return max(1, k)
+
 
 def shingles_of(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than n are one shingle, none are none."""
@@ -79,12 +96,11 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     salts = mix(np.arange(1, BANDS + 1, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, values = Powers(), byte_values()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
-                hashes, _, bounds = words_of(data[o[0] : o[-1]], o - o[0], NOT_SPACE, values, powers)
+                hashes, _, bounds = words_of(lower_ascii(data[o[0] : o[-1]]), o - o[0], NOT_SPACE)
                 sizes, digests, packed, bands = [], [], [], []
                 for k in range(b - a):
                     own = shingles_of(hashes[bounds[k] : bounds[k + 1]], words)
@@ -103,12 +119,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the texts whose ids are given, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, values = Powers(), byte_values()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
-                hashes, _, bounds = words_of(data[o[0] : o[-1]], o - o[0], NOT_SPACE, values, powers)
+                hashes, _, bounds = words_of(lower_ascii(data[o[0] : o[-1]]), o - o[0], NOT_SPACE)
                 own = [shingles_of(hashes[x:y], words).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["node", "shingles"])
@@ -117,7 +132,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("wanted")).select("doc_id", "text")
-    return materialize(texts.mapInArrow(tidy(run), "node long, shingles array<long>"), "shingles")
+    return written(texts.mapInArrow(tidy(run), "node long, shingles array<long>"), "shingles")
 
 
 def equal_registers(a: Column, b: Column) -> Column:
@@ -191,15 +206,24 @@ def star_links(nodes: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule)
 
 
 def open_nodes(nodes: DataFrame, shared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """(node, label, n) of the nodes that share several bands with a node of another component."""
+    """(node, label, n) of the nodes that may be linked with a node of another component.
+
+    Buckets are split into cells by size, two for each node, so that nodes whose sizes fit share one.
+    """
     labelled = nodes.join(labels, "node", "left").select("node", "n", "bands", F.coalesce("label", "node").alias("label"))
-    own = shared.select("key", "node").join(labelled.select("node", "label"), "node")
-    mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    among = materialize(labelled.join(own.join(mixed, "key").select("key", "node"), "node").select("key", "node", "n", "bands", "label"), "mixed-buckets")
-    other = among.select(*[F.col(c).alias(f"{c}_o") for c in among.columns])
-    few = F.least(F.lit(SHARED), F.ceil(0.2 * F.least(F.size("bands"), F.size("bands_o"))))
-    meets = (F.col("key") == F.col("key_o")) & (F.col("label") != F.col("label_o")) & fits(F.col("n"), F.col("n_o"), rule) & (F.size(F.array_intersect("bands", "bands_o")) >= few)
-    return materialize(among.join(other, meets, "left_semi").select("node", "label", "n").distinct(), "open-nodes")
+    size = F.floor(F.log("n") / math.log(100 / rule.percent)) if rule.percent < 100 else F.col("n")
+    cells = shared.select("key", "node").join(labelled.drop("bands"), "node").withColumn("cell", F.explode(F.array(size, size + 1)))
+    mixed = cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    among = materialize(cells.join(mixed.select("key", "cell", "members"), ["key", "cell"]), "mixed-cells")
+    small = materialize(among.where(F.col("members") <= SMALL).join(nodes.select("node", "bands"), "node").drop("members"), "small-cells")
+    other = small.select(*[F.col(c).alias(f"{c}_o") for c in small.columns])
+    few = F.least(F.lit(rule.shared), F.ceil(0.2 * F.least(F.size("bands"), F.size("bands_o"))))
+    meets = (F.col("key") == F.col("key_o")) & (F.col("cell") == F.col("cell_o")) & (F.col("label") != F.col("label_o")) & fits(F.col("n"), F.col("n_o"), rule) & (F.size(F.array_intersect("bands", "bands_o")) >= few)
+    met = small.join(other, meets, "left_semi").select("node", "label", "n")
+    # Whoever shares enough bands, but none in a small cell, is in that many large cells.
+    crowded = among.where(F.col("members") > SMALL).select("node", "label", "n", "key").distinct().groupBy("node", "label", "n").agg(F.count(F.lit(1)).alias("keys"))
+    several = crowded.join(nodes.select("node", F.size("bands").alias("own")), "node").where(F.col("keys") >= F.least(F.lit(rule.shared), F.ceil(0.1 * F.col("own"))))
+    return materialize(met.unionByName(several.select("node", "label", "n")).distinct(), "open-nodes")
 
 
 def prefix_links(opened: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -209,14 +233,19 @@ def prefix_links(opened: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ranked"))
     sized = ranked.join(opened, "node")
-    # Linked sets share percent% of the larger one at least, so one of this many of the rarest.
-    length = F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1
-    short = sized.select("node", "label", "n", F.posexplode(F.slice("ranked", F.lit(1), length.cast("int"))).alias("at", "x"))
-    short = materialize(short.where("x.df > 1").select("node", "label", "n", "at", F.col("x.token").alias("token")), "prefixes")
-    other = short.select(*[F.col(c).alias(f"{c}_o") for c in short.columns])
+    # Of the larger set percent% are shared at least; of the smaller one 2 * percent / (100 + percent).
+    longer = F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1
+    shorter = F.col("n") - F.ceil(F.col("n") * (2 * rule.percent) / (100 + rule.percent)) + 1
+    short = sized.select("node", "label", "n", shorter.alias("indexed"), F.posexplode(F.slice("ranked", F.lit(1), longer.cast("int"))).alias("at", "x"))
+    short = short.where("x.df > 1").select("node", "label", "n", "at", "indexed", F.col("x.token").alias("token"), F.ceil(F.col("x.df") / DEALT).cast("int").alias("parts"))
+    short = materialize(short, "prefixes")
+    larger = short.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    smaller = short.where("at < indexed").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    smaller = smaller.select(*[F.col(c).alias(f"{c}_o") for c in ("node", "label", "n", "at", "token", "part")])
     room = (100 + rule.percent) * F.least(F.col("n") - F.col("at"), F.col("n_o") - F.col("at_o")) >= rule.percent * (F.col("n") + F.col("n_o"))
-    meets = (F.col("token") == F.col("token_o")) & (F.col("node") < F.col("node_o")) & (F.col("label") != F.col("label_o")) & fits(F.col("n"), F.col("n_o"), rule) & room
-    pairs = materialize(short.join(other, meets).select(F.col("node").alias("a"), F.col("node_o").alias("b")).distinct(), "prefix-pairs")
+    order = F.struct("n", "node") > F.struct("n_o", "node_o")
+    meets = (F.col("token") == F.col("token_o")) & (F.col("part") == F.col("part_o")) & order & (F.col("label") != F.col("label_o")) & fits(F.col("n"), F.col("n_o"), rule) & room
+    pairs = materialize(larger.join(smaller, meets).select(F.col("node").alias("a"), F.col("node_o").alias("b")).distinct(), "prefix-pairs")
     return materialize(verified(pairs, sets, rule), "prefix-links")
 
 
@@ -225,11 +254,12 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B00
 
     Words are what stands between ASCII white space, ASCII letters in either case being equal.
     component_id is the smallest doc_id that links reach; a document without words (also null and
-    empty text) has an empty set and is alone. doc_id is a key: rows that repeat one with different
-    texts are one node, their links count together. A null doc_id stands for no node and is its own
-    row with a null component, kept. An empty table gives an empty result.
+    empty text) has an empty set and is alone. Texts of equal sets are one component. doc_id is a key:
+    rows that repeat one with different texts are one node, their links count together. A null doc_id
+    stands for no node and is its own row with a null component, kept. An empty table gives an empty
+    result; columns other than doc_id and text are not read.
     """
-    prints = materialize(fingerprints(docs, rule.words), "fingerprints")
+    prints = written(fingerprints(docs, rule.words), "fingerprints")
     nodes = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n", "registers", "bands").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
     shared = buckets(nodes.select("node", F.explode("bands").alias("key")))
@@ -246,6 +276,9 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B00
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The documents with one of each group of near copies, that with the smallest id; all columns kept."""
+    """The documents with one of each group of near copies, that with the smallest id; all columns kept.
+
+    Rows that repeat an id stay or go together, rows without an id stay.
+    """
     dropped = near_groups(docs, rule).where(~F.col("kept")).select("doc_id")
     return without(docs, dropped)

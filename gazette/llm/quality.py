@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.ftrl import fit, held_out, sample_ids, sigmoid
-from gazette.llm.textvec import ALNUM, NOT_SPACE, Powers, U64, byte_values, mix, slices, span_hashes, tidy, utf8
+from gazette.llm.ftrl import fit, hash_of, held_out, sample_ids, sigmoid
+from gazette.llm.textvec import ALNUM, NOT_SPACE, U64, lower_ascii, mix, slices, span_hashes, tidy, utf8, written
 
-#: Columns of the model; column 0 is the constant. Labelled texts taken of each class.
+#: Columns of the model; column 0 is the constant. Half the number of labelled texts taken of each class at most.
 COLUMNS, SAMPLE = 1 << 20, 1500
 #: A feature that every token has gets this value.
 SCALE = 4.0
@@ -28,7 +28,7 @@ _UPPER, _LOWER, _DIGIT = (np.zeros(256, np.int64) for _ in range(3))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = 1
 
 
-def features(data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Column of each feature that occurs, its row, and each row's number of tokens."""
     rows = len(offsets) - 1
     if not len(data):
@@ -41,7 +41,7 @@ def features(data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.n
     token = kind[at[:-1]] > 0
     starts, ends = at[:-1][token], at[1:][token]
     symbol = kind[starts] == 2
-    words = span_hashes(data, starts, ends, values, powers)
+    words = span_hashes(lower_ascii(data), starts, ends)
     sums = [np.concatenate([[0], np.cumsum(x[data])]) for x in (_UPPER, _LOWER, _DIGIT)]
     upper, lower, digit = (s[ends] - s[starts] for s in sums)
     shape = ((upper > 0) + 2 * (lower > 0) + 4 * (digit > 0) + 8 * (upper > 1)).astype(U64)
@@ -67,30 +67,26 @@ def features(data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.n
 
 
 def collect(docs: DataFrame, ids: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Features of the sampled texts, in a fixed order. The sample is bounded, so its ids are broadcast."""
+    """Features of the sampled texts in a fixed order, one text for each id. The sample is bounded, so its ids are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, values = Powers(), byte_values()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
-                column, row, tokens = features(data[o[0] : o[-1]], o - o[0], powers, values)
+                column, row, tokens = features(data[o[0] : o[-1]], o - o[0])
                 packed = []
                 for k in range(b - a):
                     c, n = np.unique(column[row == k], return_counts=True)
-                    packed.append((c.astype(np.int32).tobytes(), (n * (SCALE / max(1, tokens[k]))).astype(np.float32).tobytes()))
-                arrays = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "columns", "shares"])
+                    packed.append(c.astype(np.int32).tobytes() + (n * (SCALE / max(1, tokens[k]))).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(packed, pa.binary())], names=["doc_id", "label", "shares"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(run), "doc_id long, label int, columns binary, shares binary").collect()
-    rows.sort(key=lambda r: (hash_of(r.doc_id), r.label, r.columns))
-    return [(np.frombuffer(r.columns, np.int32).astype(np.int64), np.frombuffer(r.shares, np.float32).astype(np.float64), float(r.label)) for r in rows]
-
-
-def hash_of(doc_id: int) -> int:
-    """An order of ids that has nothing to do with theirs."""
-    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) ^ (doc_id >> 7)
+    sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    found = written(sampled.mapInArrow(tidy(run), "doc_id long, label int, shares binary"), "quality-sample")
+    rows = found.groupBy("doc_id", "label").agg(F.min("shares").alias("shares")).collect()
+    rows.sort(key=lambda r: (hash_of(r.doc_id), r.label))
+    halves = [(r.shares, len(r.shares) // 8, float(r.label)) for r in rows]
+    return [(np.frombuffer(x, np.int32, n).astype(np.int64), np.frombuffer(x, np.float32, n, 4 * n).astype(np.float64), y) for x, n, y in halves]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int = SAMPLE) -> np.ndarray:
@@ -104,19 +100,25 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, values, own = Powers(), byte_values(), sent.value.astype(np.float64)
+        own = sent.value.astype(np.float64)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
-                column, row, tokens = features(data[o[0] : o[-1]], o - o[0], powers, values)
+                column, row, tokens = features(data[o[0] : o[-1]], o - o[0])
                 total = np.bincount(row, own[column], b - a) * (SCALE / np.maximum(1, tokens)) + own[0]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sigmoid(total), pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double"), "quality")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document, learned from the labels that aren't held out."""
+    """doc_id, held_out, score, predicted for every document, learned from the labels that aren't held out.
+
+    Null and empty texts have no features and get the constant's score. Rows that repeat give rows that
+    repeat; of rows that repeat a sampled id one takes part in training. A null doc_id stays null and
+    counts as held out. An id with both labels takes part with each. Without labels every score is 0.5,
+    which predicts 1; an empty table of documents gives an empty result. Other columns are not read.
+    """
     scored = score(docs, train(docs, labels, size=size))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

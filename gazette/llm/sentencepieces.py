@@ -16,9 +16,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gazette.llm.chunk_ids import Arena, process_cache
-from gazette.llm.textvec import Powers, U64, byte_values, slices, span_hashes, tidy, utf8
+from gazette.llm.chunk_ids import Arena, Chunks, process_cache
+from gazette.llm.textvec import slices, tidy, utf8, written
 
 MARK = "▁"
 #: Distinct words that a worker process remembers.
@@ -42,15 +43,20 @@ class Codec:
         self.mark = [self.processor.piece_to_id(MARK)]
         self.names = [str(k) for k in range(self.processor.get_piece_size())]
         self.kind = np.uint16 if len(self.names) <= 1 << 16 else np.int32
-        self.values, self.powers = byte_values(False), Powers()
         self.arena = Arena(self.kind, table)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the offsets of the rows' ids."""
+        found = self._by_word(data, offsets) if self.by_word else None
+        if found is not None:
+            return found
+        raw = data.tobytes()
+        rows = self.processor.encode([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
+        return np.fromiter(chain.from_iterable(rows), self.kind), np.cumsum([0, *map(len, rows)])
+
+    def _by_word(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same from the table; None if it can't tell two words apart."""
         raw = data.tobytes()
-        if not self.by_word:
-            found = self.processor.encode([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
-            return np.fromiter(chain.from_iterable(found), self.kind), np.cumsum([0, *map(len, found)])
         if MARK.encode() in raw:
             rows = [raw[a:b].replace(MARK.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             raw, offsets = b"".join(rows), np.cumsum([0, *map(len, rows)])
@@ -63,28 +69,29 @@ class Codec:
         mark = np.concatenate([begins, [True]])
         mark[offsets] = True
         at = np.flatnonzero(mark)
-        starts, ends = at[:-1], at[1:]
         # A row's first word has the library's own marker before whatever markers it starts with; another gives its first one up for that.
         leads = np.zeros(len(data) + 1, bool)
         leads[offsets[:-1][np.diff(offsets) > 0]] = True
-        whole = leads[starts]
-        hashes = span_hashes(data, starts, ends, self.values, self.powers) ^ ((ends - starts).astype(U64) * U64(2) + whole.astype(U64))
+        whole = leads[at[:-1]]
+        chunks = Chunks(data, at[:-1], at[1:], whole)
 
-        def learn(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-            a = starts[first] + ~whole[first]
-            words = [raw[x:y].decode() for x, y in zip(a.tolist(), ends[first].tolist(), strict=True)]
+        def learn(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a = chunks.starts[which] + ~whole[which]
+            words = [raw[x:y].decode() for x, y in zip(a.tolist(), chunks.ends[which].tolist(), strict=True)]
             found = [ids if w else self.mark for w, ids in zip(words, self.processor.encode(words, num_threads=1), strict=True)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            return self.arena.put(keys, np.arange(len(keys)), np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes)
+            return which, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
 
-        ids, total = self.arena.ids_of(hashes, learn)
-        return ids, total[np.searchsorted(at, offsets)]
+        found = self.arena.ids_of(chunks, learn)
+        return None if found is None else (found[0], found[1][np.searchsorted(at, offsets)])
 
 
 def encode_documents(docs: DataFrame, model_file: str, table: int = TABLE, extra: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``extra`` ids and decoded.
 
-    Null counts as empty, which has no ids. Rows that repeat give rows that repeat.
+    Null counts as empty, which has no ids. Rows that repeat give rows that repeat, a null doc_id stays
+    null, an empty table gives an empty result; columns other than doc_id and text are not read. Words
+    are compared byte for byte with the table's, so texts whose words share a hash get the library's ids too.
     """
     columns = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     columns += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if extra else []
@@ -108,4 +115,4 @@ def encode_documents(docs: DataFrame, model_file: str, table: int = TABLE, extra
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     said = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * extra
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), said)
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), said), "pieces")

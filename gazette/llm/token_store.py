@@ -7,6 +7,9 @@ chunk digests, its first position in the whole id stream and the Merkle root of
 
 A rolling hash over ids cuts streams where its low bits are zero, so equal passages give equal chunks
 wherever they stand. A chunk's digest is of its ids as little-endian 32-bit integers.
+
+Recipes come in parts of about ``PART`` ids, and a part's root is made of the roots of its groups of
+``GROUP`` documents, so neither a task nor a list of leaves grows with the store.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from gazette.llm.chunk_ids import ChunkIds, process_cache
 from gazette.llm.files import attempt_name, open_fs
 from gazette.shared import materialize, new_path, remove
-from gazette.llm.textvec import U64, mix, slices, tidy, utf8
+from gazette.llm.textvec import U64, mix, slices, small_batches, tidy, utf8, written
 
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 8, 9, 128, 2048
+#: Ids of a part of the recipes; documents whose roots are leaves of one tree in the manifest.
+PART, GROUP = 1 << 26, 4096
 #: Bytes of ids in a block before compression.
 BLOCK = 128 << 10
 DIGEST = 16
@@ -185,7 +190,7 @@ def ingest(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> Data
         packer.close()
         yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"stored": packer.take()}], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), _INGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), _INGEST)
 
 
 def compact(entries: DataFrame, path: str) -> DataFrame:
@@ -213,7 +218,8 @@ def compact(entries: DataFrame, path: str) -> DataFrame:
                 packer.close()
                 yield pa.RecordBatch.from_pylist(packer.take(), schema=_INDEX)
 
-    packs.mapInArrow(tidy(rewrite), f"digest binary, {PLACE}").write.parquet(f"{path}/index")
+    with small_batches(spark):
+        packs.mapInArrow(tidy(rewrite), f"digest binary, {PLACE}").write.parquet(f"{path}/index")
     return spark.read.schema(f"digest binary, {PLACE}").parquet(f"{path}/index")
 
 
@@ -236,17 +242,20 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0
     """Write the ids of every whole text, ``end_id`` behind each, in ascending doc_id order.
 
     Null text counts as empty and has the end id alone. Rows that repeat a doc_id stand side by side,
-    in order of their roots. An empty table gives an empty store.
+    in order of their roots; a null doc_id comes first. An empty table gives an empty store. Columns other
+    than doc_id and text are not read.
     """
     spark = docs.sparkSession
     staged = f"{path}/ingest"
-    ingest(docs, path, tokenizer_file, end_id).write.parquet(staged)
+    with small_batches(spark):
+        ingest(docs, path, tokenizer_file, end_id).write.parquet(staged)
     rows = spark.read.schema(_INGEST).parquet(staged)
     entries = rows.where("stored IS NOT NULL").select(F.explode("stored").alias("x")).select("x.*")
     index = compact(entries, path)
     sweep(path, entries, index)
     recipes = rows.where("stored IS NULL").select("doc_id", "n_tokens", "root", "chunks")
-    ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    parts = max(1, -(-(recipes.agg(F.sum("n_tokens")).first()[0] or 0) // PART))
+    ordered = recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered = materialize(ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), "recipes")
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One row for each partition: what this window orders is the plan's size, not the data's.
@@ -266,13 +275,25 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_of(recipes: DataFrame) -> DataFrame:
-    """Merkle root over the documents of each part of the recipes, in order."""
+    """(part, documents, n_tokens, root): Merkle root of each part of the recipes, over the roots of its groups of documents in order."""
+    # Rows are numbered from 0 within a part, behind the part's own number.
+    group = F.shiftright(F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)), GROUP.bit_length() - 1).alias("group")
+    leaves = recipes.select("part", group, "pos", "n_tokens", "root").groupBy("part", "group").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "root"))).alias("leaves"))
+    groups = rooted(leaves, "part int, group long, documents long, n_tokens long")
+    parts = groups.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(F.col("group").alias("pos"), "root"))).alias("leaves"))
+    return rooted(parts, "part int, documents long, n_tokens long")
+
+
+def rooted(rows: DataFrame, columns: str) -> DataFrame:
+    """The rows with the Merkle root of their leaves in place of them."""
+    names = [x.split()[0] for x in columns.split(", ")]
 
-    def root(part: pa.Table) -> pa.Table:
-        part = part.sort_by("pos")
-        return pa.table({"part": part["part"][:1], "documents": pa.array([part.num_rows], pa.int64()), "n_tokens": pa.array([sum(part["n_tokens"].to_pylist())], pa.int64()), "root": pa.array([merkle(part["root"].to_pylist())], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle([x["root"] for x in leaves]) for leaves in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(roots, pa.binary())], names=[*names, "root"])
 
-    return recipes.select("part", "pos", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, documents long, n_tokens long, root binary")
+    return rows.select(*names, "leaves").mapInArrow(tidy(run), f"{columns}, root binary")
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -312,7 +333,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                     rows.append(row | ({"ids": ids.tolist()} if with_ids else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return near.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return written(near.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids), "token-rows")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
