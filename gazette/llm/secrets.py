@@ -7,6 +7,8 @@ that the ledger has, matches the rest, appends them, and joins the findings back
 
 Spans come from two passes of the same pattern: ``split`` gives what lies between matches and
 ``regexp_extract_all`` the matches, so that running sums of their lengths are positions in code points.
+They are summed in two levels, over runs of ``RUN`` matches and within each, so the work goes with the
+number of matches.
 """
 
 from __future__ import annotations
@@ -44,32 +46,37 @@ RULES = (
 #: Name of a rule set in the ledger. Change it with any rule.
 RULES_VERSION = "1"
 
-SPAN = "struct<start:int,kind:int,name:string,end:int>"
-
+#: Matches whose spans are gathered in one fold.
+RUN = 128
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, kind, name, end) of the matches that count; the pattern runs thrice only where it is found."""
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+SPAN = "struct<start:int,kind:int,name:string,end:int>"
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), F.lit(rule.kind).alias("name"), end.alias("end"))
-        counts = x["size"].isNotNull() & (x["tested"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(counts, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    spans = F.aggregate(steps, start, step, lambda s: s["found"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+#: Spans of a rule's matches as SQL over the columns text and pattern_<order>; ``{ }`` hold the rule.
+#: Steps are (characters before a match, characters of it, of its tested group); the last has no match.
+#: A transform over an array of one is a name for a value that is used more than once.
+SPANS = """
+CASE WHEN regexp_like(text, pattern_{order}) THEN get(transform(array(arrays_zip(
+    transform(split(text, pattern_{order}, -1), s -> length(s)),
+    transform(regexp_extract_all(text, pattern_{order}, 0), s -> length(s)),
+    transform(regexp_extract_all(text, pattern_{order}, {group}), s -> length(s)))), steps ->
+  get(transform(array(transform(sequence(0, CAST(floor((size(steps) - 1) / {run}) AS INT)), k -> slice(steps, k * {run} + 1, {run}))), parts ->
+    get(transform(array(transform(parts, p -> aggregate(p, 0, (n, x) -> n + x.`0` + coalesce(x.`1`, 0)))), lengths ->
+      flatten(transform(parts, (p, i) -> aggregate(p,
+        named_struct('at', aggregate(slice(lengths, 1, i), 0, (n, x) -> n + x), 'found', CAST(array() AS array<{span}>)),
+        (state, x) -> named_struct('at', state.at + x.`0` + coalesce(x.`1`, 0), 'found',
+          CASE WHEN x.`1` IS NOT NULL AND x.`2` >= {least} THEN
+            concat(state.found, array(named_struct('start', state.at + x.`0`, 'kind', {order}, 'name', '{kind}', 'end', state.at + x.`0` + coalesce(x.`1`, 0))))
+          ELSE state.found END),
+        state -> state.found)))), 0)), 0)), 0)
+ELSE CAST(array() AS array<{span}>) END"""
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, text) -> (blob, spans), spans in order of start, then rule."""
-    found = F.array_sort(F.concat(*[spans_of(F.col("text"), rule, k) for k, rule in enumerate(rules)]))
-    return blobs.select("blob", found.alias("spans"))
+    named = blobs.select("blob", "text", *[F.lit(rule.pattern).alias(f"pattern_{k}") for k, rule in enumerate(rules)])
+    found = ", ".join(SPANS.format(order=k, group=rule.group, least=rule.least, kind=rule.kind, run=RUN, span=SPAN) for k, rule in enumerate(rules))
+    return named.select("blob", F.expr(f"array_sort(concat({found}))").alias("spans"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -82,24 +89,33 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """The versions with their ``blob`` and ``spans``; what the ledger lacked is scanned and appended.
+    """The versions with ``blob`` and ``spans`` behind their own columns; what the ledger lacked is scanned and appended.
 
-    Null text counts as empty. Every row of ``versions`` comes back, also rows that repeat. Two runs
-    that append the same pair at once leave two equal ledger rows, which the read makes one.
-    Other columns pass through; the names blob and spans are ours.
+    Null text counts as empty. Every row of ``versions`` comes back, also rows that repeat, and every
+    column; beside a caller's own ``blob`` or ``spans`` ours are named with an underscore more. Two runs
+    that append the same pair at once leave two equal ledger rows, which the read makes one. An empty
+    table adds nothing and gives an empty result.
     """
     spark = versions.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = versions.drop("blob", "spans").withColumn("blob", F.sha2(text, 256))
     seen = read_ledger(spark, ledger).where(F.col("rules") == version).select("blob")
     # Copies are combined within each task before they meet, so a blob of a third of all rows is a row for each task.
-    blobs = rows.select("blob", text.alias("text")).distinct()
+    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
     if not seen.isEmpty():
         blobs = blobs.join(seen, "blob", "left_anti")
     scan(blobs, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(ledger)
     found = read_ledger(spark, ledger).where((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans").distinct()
-    none = F.array().cast(f"array<{SPAN}>")
-    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    blob, spans = (free(name, versions.columns) for name in ("blob", "spans"))
+    key = free("scanned", versions.columns)
+    keyed = versions.withColumn(blob, F.sha2(text, 256)).join(found.select(F.col("blob").alias(key), F.col("spans").alias(spans)), F.col(blob) == F.col(key), "left").drop(key)
+    return keyed.withColumn(spans, F.coalesce(F.col(spans), F.array().cast(f"array<{SPAN}>")))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores as it takes to be a new one."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def joined(spans: Column) -> Column:
@@ -110,7 +126,8 @@ def joined(spans: Column) -> Column:
 def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256, spans.
 
-    Nulls and empty texts have no span; an empty table gives an empty result.
+    Nulls and empty texts have no span; rows that repeat give rows that repeat, a null doc_id stays null; an
+    empty table gives an empty result. Columns other than doc_id and text are not read.
     """
     found = scan_versions(docs.select("doc_id", "text"), ledger or new_path(docs.sparkSession, "secret-ledger"), rules, version)
     base = [k for k, rule in enumerate(rules) if rule.base]
