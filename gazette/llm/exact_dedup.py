@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.shared import materialize, without
+from gazette.llm.rows import without
+from gazette.shared import materialize
 
 #: Parts into which the rows of one digest are dealt before the last step.
 SALTS = 16
@@ -57,6 +58,23 @@ def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFram
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The documents without copies: of equal texts the row with the largest doc_id, all columns kept."""
-    dropped = exact_groups(docs, salts=salts).where(~F.col("kept")).select("doc_id")
-    return without(docs, dropped)
+    """The documents without copies: of equal texts one row with the largest doc_id, all columns kept.
+
+    Rows are told apart by doc_id and text together, so a row that repeats another's id with a text of its
+    own stays. Of rows that repeat both, the one whose other columns come first as JSON stays; a row
+    without an id goes if one with an id has its text, and of equal texts without any id one stays.
+    """
+    groups = materialize(exact_groups(docs, salts=salts).where("group_size > 1").select("doc_id", "keep_id", "text_sha256"), "exact-copies")
+    rows = {"doc_id": F.col("doc_id"), "text_sha256": sha256(F.coalesce("text", F.lit("")))}
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    kept = without(docs, groups.where(~best), rows)
+    again = groups.where(best).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return kept
+    again = materialize(again, "repeated-rows")
+    single = without(kept, again, rows)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    same = (F.col("r.doc_id").eqNullSafe(F.col("g.doc_id"))) & (F.col("sha") == F.col("g.text_sha256"))
+    packed = kept.select(F.struct(*own).alias("r"), rows["text_sha256"].alias("sha"))
+    twice = packed.join(again.alias("g"), same, "left_semi").groupBy("r.doc_id", "sha").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    return single.unionByName(twice.select("r.*"))
