@@ -16,14 +16,15 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.files import attempt_name, open_fs
-from gazette.shared import materialize, new_path
-from gazette.llm.textvec import tidy, utf8
+from gazette.shared import new_path
+from gazette.llm.textvec import small_batches, tidy, utf8, written
 
 #: Bytes of a block in one record; longer blocks are segmented.
 SEGMENT = 16 << 10
@@ -38,6 +39,7 @@ _EOL = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
+_NAMELESS = "urn:page:"
 
 
 class ArchiveError(ValueError):
@@ -64,6 +66,8 @@ def unframed(body: bytes) -> bytes:
         size = int(body[at:end].split(b";")[0], 16)
         at = end + 2
         if size == 0:
+            if body[at : at + 2] != _EOL and body.find(b"\r\n\r\n", at) < 0:
+                raise ArchiveError("the end of the last chunk is cut off")
             return b"".join(out)
         if body[at + size : at + size + 2] != _EOL:
             raise ArchiveError("chunk is cut off")
@@ -101,17 +105,36 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-def records_of_page(ident: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, segment: int, chunk: int) -> Iterator[bytes]:
+@dataclass(frozen=True)
+class Page:
+    """What the records of a page say; ``refers`` is the record, page and address that a revisit refers to."""
+
+    ident: str
+    page_id: int | None
+    url: str | None
+    payload: bytes
+    refers: tuple[str | None, int, str | None] | None = None
+
+
+def target(url: str | None, page_id: int | None) -> str:
+    """A page's address without blanks and control characters; a page without one gets a name."""
+    return "".join(c if " " < c else f"%{ord(c):02X}" for c in url) if url else f"{_NAMELESS}{'' if page_id is None else page_id}"
+
+
+def records_of_page(page: Page, segment: int, chunk: int) -> Iterator[bytes]:
     """The records of one page: a revisit, a response, or a response and its continuations."""
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    url = "".join(c if " " < c else f"%{ord(c):02X}" for c in url)
-    shared = [("WARC-Date", _DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")]
-    shared += [] if page_id is None else [("X-Page-ID", str(page_id))]
-    first = [("WARC-Record-ID", f"<{ident}>"), *shared]
-    if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), *first, ("WARC-Profile", _PROFILE), ("X-Refers-To-Page-ID", str(refers_to))], _HTTP)
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(page.payload).digest()).decode()
+    uri = ("WARC-Target-URI", target(page.url, page.page_id))
+    shared = [("WARC-Date", _DATE), uri, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")]
+    shared += [] if page.page_id is None else [("X-Page-ID", str(page.page_id))]
+    first = [("WARC-Record-ID", f"<{page.ident}>"), *shared]
+    if page.refers is not None:
+        ident, other, url = page.refers
+        refers = [("WARC-Profile", _PROFILE), ("WARC-Refers-To-Target-URI", target(url, other)), ("WARC-Refers-To-Date", _DATE), ("X-Refers-To-Page-ID", str(other))]
+        refers += [] if ident is None else [("WARC-Refers-To", f"<{ident}>")]
+        yield record([("WARC-Type", "revisit"), *first, *refers], _HTTP)
         return
-    block = _HTTP + framed(payload, chunk)
+    block = _HTTP + framed(page.payload, chunk)
     if len(block) <= segment:
         yield record([("WARC-Type", "response"), *first], block)
         return
@@ -119,28 +142,32 @@ def records_of_page(ident: str, page_id: int | None, url: str, payload: bytes, r
     count = -(-len(block) // segment)
     for n in range(2, count + 1):
         more = [("WARC-Segment-Total-Length", str(len(block)))] if n == count else []
-        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{ident}:{n}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", f"<{ident}>"), ("WARC-Segment-Number", str(n)), *more]
+        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{page.ident}:{n}>"), ("WARC-Date", _DATE), uri, ("WARC-Segment-Origin-ID", f"<{page.ident}>"), ("WARC-Segment-Number", str(n)), *more]
         yield record(headers, block[(n - 1) * segment : n * segment])
 
 
 def mark_revisits(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
-    """(page_id, url, html) and refers_to: the largest page_id with the same payload, null for that page itself.
+    """page_id, url, html, refers_to and to_url: the largest page_id with the same payload and its address, null for that page itself.
 
-    Only payloads of ``least`` bytes or more that occur under several ids take part. The winners are
-    few and unique by payload; a hot payload is only on the other side, which adaptive execution splits.
+    ``single`` says whether that page is one row, so that its record can be named beforehand. Only payloads
+    of ``least`` bytes or more that occur under several ids take part. The winners are few and unique by
+    payload; a hot payload is only on the other side, which adaptive execution splits.
     """
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when((F.octet_length("html") >= least), F.sha2("html", 256)))
-    ids = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"))
-    winners = ids.where("last > least").select("key", "last")
+    each = rows.where(F.col("key").isNotNull()).groupBy("key", "page_id").agg(F.max("url").alias("url"), F.count(F.lit(1)).alias("n"))
+    ids = each.groupBy("key").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"), F.max_by(F.struct("url", "n"), "page_id").alias("x"))
+    winners = ids.where("last > least").select("key", "last", F.col("x.url").alias("to_url"), (F.col("x.n") == 1).alias("single"))
     marked = rows.join(winners, "key", "left")
-    return marked.select("page_id", "url", "html", F.when(F.col("last") > F.col("page_id"), F.col("last")).alias("refers_to"))
+    return marked.select("page_id", "url", "html", F.when(F.col("last") > F.col("page_id"), F.col("last")).alias("refers_to"), "to_url", F.when(F.col("page_id").isNotNull(), F.col("single")).alias("single"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, least: int = REVISIT_LEAST) -> DataFrame:
     """Write the pages as gzipped WARC files (a member per record) under ``path``; returns the manifest (file, records, bytes).
 
-    Null html is an empty payload, null url an empty one. Repeated rows are records of their own.
+    Null html is an empty payload; a page without an address gets a name. Repeated rows are records of
+    their own, also pages without a page_id. A response that others refer to has a record id made of its
+    page_id and payload, unless several rows share both: revisits then refer to it by address and page alone.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +176,19 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: i
         out, name, count, size, rows = None, "", 0, 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
-            ids, urls, refers = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            ids, urls, refers, to_urls, singles = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
             data, offsets = utf8(batch.column(2))
             view = memoryview(data)
-            for i, (page_id, url, to) in enumerate(zip(ids, urls, refers, strict=True)):
+            for i, (page_id, url, to, to_url, single) in enumerate(zip(ids, urls, refers, to_urls, singles, strict=True)):
                 if out is None:
                     name, count, size = attempt_name("pages", ".warc.gz"), 0, 0
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
-                ident = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}/{rows}')}"
-                rows += 1
-                for x in records_of_page(ident, page_id, url, bytes(view[offsets[i] : offsets[i + 1]]), to, segment, chunk):
+                payload = bytes(view[offsets[i] : offsets[i + 1]])
+                named = f"{path}/{page_id if to is None else to}/{hashlib.sha1(payload).hexdigest()}" if single else None
+                own, rows = f"{name}/{rows}", rows + 1
+                ident, other = (None if x is None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, x)}" for x in (named if single and to is None else own, named))
+                page = Page(ident, page_id, url, payload, None if to is None else (other, to, to_url))
+                for x in records_of_page(page, segment, chunk):
                     packed = zlib.compress(x, 1, 31)
                     out.write(packed)
                     count, size = count + 1, size + len(packed)
@@ -173,7 +203,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: i
 
     manifest = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
     files = mark_revisits(pages, least).mapInArrow(tidy(write), "file string, records long, bytes long")
-    files.write.parquet(f"{path}/manifest")
+    with small_batches(pages.sparkSession):
+        files.write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest")
 
 
@@ -230,7 +261,8 @@ def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def row_of(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
     number = lambda k: int(headers[k]) if k in headers else None
     kind, segment = headers["warc-type"], number("warc-segment-number")
-    row = {"page_id": number("x-page-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": number("x-refers-to-page-id"), "digest": hex_digest(headers.get("warc-payload-digest")), "origin": None, "segment": segment, "total": number("warc-segment-total-length"), "block": None, "payload": None, "payload_bytes": None}
+    uri = headers.get("warc-target-uri", _NAMELESS)
+    row = {"page_id": number("x-page-id"), "url": None if uri.startswith(_NAMELESS) else uri, "record_type": kind, "refers_to": number("x-refers-to-page-id"), "digest": hex_digest(headers.get("warc-payload-digest")), "origin": None, "segment": segment, "total": number("warc-segment-total-length"), "block": None, "payload": None, "payload_bytes": None}
     if segment is not None:
         row |= {"origin": headers.get("warc-segment-origin-id", headers["warc-record-id"]), "block": block}
     elif kind == "response":
@@ -271,7 +303,7 @@ def reassemble(segments: DataFrame, payloads: bool) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
     parts = F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
     groups = segments.groupBy("origin").agg(parts, F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"))
-    return groups.mapInArrow(tidy(decode), "page_id long, url string, digest string, payload binary, payload_bytes long")
+    return written(groups.mapInArrow(tidy(decode), "page_id long, url string, digest string, payload binary, payload_bytes long"), "warc-whole")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -279,7 +311,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     An empty archive gives no row.
     """
-    records = materialize(parse_archives(spark, path, payloads), "warc-records")
+    records = written(parse_archives(spark, path, payloads), "warc-records")
     columns = ["page_id", "url", "digest", "payload", "payload_bytes"]
     whole = records.where("origin IS NULL AND record_type = 'response'").select(columns)
     responses = whole.unionByName(reassemble(records.where("origin IS NOT NULL"), payloads))
@@ -292,7 +324,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
-    """Write the pages and read them back."""
+    """Write the pages and read them back: a row for each page, as ``read_archives`` gives it.
+
+    Null html is an empty payload, a null or empty url comes back as null. Rows that repeat give rows that
+    repeat; of equal payloads all with the largest page_id are responses. A null page_id stays null and is
+    never a revisit's target. An empty table gives an empty result; other columns are not read.
+    """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path)
