@@ -9,12 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.llm import exact_dedup, language_id, near_dedup, quality, queries, secrets, sentencepieces, spaced_seeds, token_store, toxicity, warc
+from gazette.llm import chunk_ids, exact_dedup, ftrl, language_id, near_dedup, quality, queries, secrets, sentencepieces, spaced_seeds, textvec, token_store, toxicity, warc
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHING = ("digest", "blob", "spans", "key", "node", "label", "n", "keep_id", "score", "kept", "hash", "salt")
+CLASHING = ("digest", "blob", "spans", "key", "node", "label", "n", "keep_id", "score", "kept", "hash", "salt", "votes", "texts", "marks", "shape")
 
 
 def clashing(df):
@@ -283,14 +283,251 @@ def test_toxicity(spark):
     assert {x.predicted for x in toxicity.score_documents(df, labels.limit(0)).collect()} == {0}
 
 
-def test_label_model_discounts_copies_of_a_voter():
+def plain_em(votes, known, rounds):
+    """The label model text by text: posteriors, rates given the parent's vote, in loops."""
+    n, v = votes.shape
+
+    def counts(weights):
+        each = [[sum(w[y] for w in weights), [sum(w[y] for w, r in zip(weights, votes) if r[i]) for i in range(v)], [[sum(w[y] for w, r in zip(weights, votes) if r[i] and r[j]) for j in range(v)] for i in range(v)]] for y in (0, 1)]
+        return toxicity.Counts(*(np.array(x, float) for x in zip(*each)))
+
+    def posterior(model, row):
+        p = [1 - model.prior, model.prior]
+        for i in range(v):
+            for y in (0, 1):
+                rate = model.rates[y, i, int(row[model.parent[i]])]
+                p[y] *= rate if row[i] else 1 - rate
+        return p[1] / sum(p)
+
+    start = counts([(1 - y, y) for y in known])
+    model = toxicity.LabelModel.of(start, np.mean(known))
+    for _ in range(rounds):
+        weights = [(1 - q, q) for q in (posterior(model, r) for r in votes)]
+        model = toxicity.LabelModel.of(start + counts(weights).scaled(start.texts), sum(w[1] for w in weights) / n)
+    return [posterior(model, r) for r in votes]
+
+
+def test_label_model_is_plain_expectation_maximisation(spark):
     r = np.random.default_rng(1)
-    y = r.random(800) < 0.3
-    good = [np.where(r.random(800) < 0.8, y, r.random(800) < 0.05) for _ in range(3)]
-    votes = np.stack([*good, good[0], good[0]], 1).astype(bool)
-    model = toxicity.LabelModel.fit(votes, np.where(np.arange(800) < 300, y, np.nan).astype(float))
-    assert (np.abs(model.weight[[0, 3, 4]] - model.weight[0]) < 1e-9).all() and model.weight[0] < model.weight[1]
-    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
+    y = r.random(120) < 0.3
+    good = [np.where(r.random(120) < 0.8, y, r.random(120) < 0.05) for _ in range(3)]
+    votes = np.stack([*good, good[0] ^ (r.random(120) < 0.03), good[0]], 1).astype(bool)
+    known = (y ^ (r.random(120) < 0.05)).astype(float)
+    bits = votes @ (1 << np.arange(5))
+    unique, n = np.unique(bits, return_counts=True)
+    patterns = spark.createDataFrame([(int(b), int(k)) for b, k in zip(unique, n)], "votes long, texts long").repartition(3)
+    start = toxicity.Counts.of(votes, np.ones(120), known)
+    model = toxicity.LabelModel.fit(start, toxicity.expected(patterns, 5), rounds=3)
+    assert model.posterior(votes) == pytest.approx(plain_em(votes, known, 3), abs=1e-9)
+    assert ((model.informed(votes, known == 1) > 0.5) == y).mean() > 0.9
+    # A copy of a voter hangs on it and says nothing more.
+    tied = {frozenset((i, int(p))) for i, p in enumerate(model.parent) if i != p}
+    assert frozenset((0, 4)) in tied
+
+
+def test_toxic_marks_and_shapes_depend_on_the_row_alone():
+    import pyarrow as pa
+
+    texts = ["f*ck off", "", "*", "a*", "b NO NO NO NO NO NO NO NO NO NO", "!!", "!", "!!! é*e", None, "wow wow wow wow"]
+    alone = [toxicity.shapes(*textvec.utf8(pa.array([t], pa.string())))[0].tolist() for t in texts]
+    assert toxicity.shapes(*textvec.utf8(pa.array(texts))).tolist() == alone
+    assert [k for k, x in enumerate(alone) if x[0]] == [0] and alone[4][1] and [k for k, x in enumerate(alone) if x[2]] == [7]
+
+
+def test_quality_weights_are_plain_ftrl():
+    r = random.Random(5)
+    rows = [(np.array(sorted(r.sample(range(1, 30), 6))), np.array([r.random() for _ in range(6)]), float(r.random() < 0.5)) for _ in range(50)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.01
+    z, n = [0.0] * 30, [0.0] * 30
+
+    def weight(c):
+        cut = l1 if c else 0.0
+        return 0.0 if abs(z[c]) <= cut else ((1 if z[c] > 0 else -1) * cut - z[c]) / ((beta + n[c] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for columns, values, y in rows:
+            x = {0: 1.0} | dict(zip(columns.tolist(), values.tolist()))
+            w = {c: weight(c) for c in x}
+            p = 1 / (1 + np.exp(-sum(w[c] * x[c] for c in x)))
+            for c in x:
+                g = (p - y) * x[c]
+                s = ((n[c] + g * g) ** 0.5 - n[c] ** 0.5) / alpha
+                z[c], n[c] = z[c] + g - s * w[c], n[c] + g * g
+    assert ftrl.fit(rows, 30) == pytest.approx([weight(c) for c in range(30)], abs=1e-12)
+
+
+def test_language_weights_solve_the_ridge():
+    r = np.random.default_rng(4)
+    sets = (r.random((40, language_id.COLUMNS)) < 0.02).astype(np.float32)
+    langs = ["aa", "bb", "bb", "cc"] * 10
+    m = language_id.Model.fit(langs, sets, landmarks=3, ridge=1e-2)
+    names = sorted(set(langs))
+    chosen = [k for c in names for k in [k for k, x in enumerate(langs) if x == c][:3]]
+    size = lambda a: max(1.0, float(a.sum()))
+    k = lambda a, b: float((a * b).sum()) / (size(a) * size(b)) ** 0.5
+    gram = np.array([[k(a, sets[j]) for j in chosen] for a in sets])
+    root = np.linalg.cholesky(np.array([[k(sets[i], sets[j]) for j in chosen] for i in chosen]) * 1e-2 * 40 + 1e-9 * np.eye(len(chosen))).T
+    for c, name in enumerate(names):
+        w = np.sqrt([40 / (3 * langs.count(x)) for x in langs])
+        target = np.array([1.0 if x == name else -1.0 for x in langs])
+        # Least squares with the ridge as further rows.
+        solved = np.linalg.lstsq(np.vstack([gram * w[:, None], root]), np.concatenate([target * w, np.zeros(len(chosen))]), rcond=None)[0]
+        assert m.weights[:, c] == pytest.approx(solved, abs=1e-3)
+    assert (m.landmarks == sets[chosen]).all()
+
+
+# --- colliding words, odd rows, settings ---------------------------------------------------------------
+
+
+def colliding():
+    """Two words of 1,024 letters that every polynomial of their bytes modulo a power of two confuses."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_colliding_words_keep_their_own_ids_and_links(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = colliding()
+    texts = [one, two, f"x {one} y", f"x {two} y", f"{one} {two} " * 3]
+    df = docs(spark, texts)
+    sp, bpe = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model")), Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in sentencepieces.encode_documents(df, queries.vocabulary("piece_bpe_32k.model"), extra=True).collect()}
+    assert [(got[k].ids, got[k].decoded) for k in range(5)] == [(sp.encode(t), t) for t in texts]
+    got = {r.doc_id: r for r in token_store.round_trip(df, queries.vocabulary("byte_bpe_50k.json"), with_ids=True).collect()}
+    assert [got[k].ids[:-1] for k in range(5)] == [bpe.encode(t).ids for t in texts]
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, near_dedup.Rule(3, 85)).collect()}
+    assert [groups[k] for k in range(5)] == [0, 1, 2, 3, 4]
+    bench = spark.createDataFrame([(0, f"{one} p q r {one}")], "item_id long, text string")
+    hit = docs(spark, [f"{two} p q r {two}", f"{one} p q r {one}"])
+    assert [r.doc_id for r in spaced_seeds.contaminated(hit, bench).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["bpe", "pieces"])
+def test_tables_compare_bytes_when_hashes_meet(monkeypatch, name):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunk_ids, "span_hashes", lambda data, a, b: textvec.span_hashes(data, a, b) % np.uint64(7))
+    coder = chunk_ids.ChunkIds(queries.vocabulary("byte_bpe_50k.json")) if name == "bpe" else sentencepieces.Codec(queries.vocabulary("piece_bpe_32k.model"))
+    for texts in (["the cat sat", "on a mat", ""], ["another text entirely", "the cat"], mixed_texts(30, 9)):
+        ids, at = coder.encode(*textvec.utf8(pa.array(texts)))
+        plain = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)] if name == "bpe" else coder.processor.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == plain
+
+
+def test_long_runs_of_words_stay_bounded():
+    import time
+
+    import pyarrow as pa
+
+    block = spaced_seeds.Block.of([7], ["a " * 2000], spaced_seeds.MASKS)
+    for text in ("a " * 16_000, "a b " * 8000, "a a a a x " * 3000):
+        data, offsets = textvec.utf8(pa.array([text]))
+        words, _, bounds = textvec.words_of(textvec.lower_latin(data), offsets, textvec.ALNUM)
+        began = time.perf_counter()
+        found = list(block.find(words, bounds, spaced_seeds.MASKS, 13))
+        assert time.perf_counter() - began < 2 and bool(found) == ("b" not in text)
+
+
+def test_runs_against_brute_force(spark):
+    items = ["a " * 30, "a b " * 12, "one two three four", "a a a a a b", "x y z"]
+    texts = ["a " * 50, "q " + "a b " * 30, "p one two three four q", "one two four three", "a a a a a a b b", "b a " * 9, "x y z", "a b c " * 20]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in spaced_seeds.contaminated(docs(spark, texts), bench).collect()}
+    assert got == plain_overlaps(texts, items, spaced_seeds.LEAST) and (2, 2) in got
+
+
+def test_a_crowded_bucket_is_not_paired(spark):
+    n = 5000
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), F.lit(4).cast("long"), F.col("id") + 10).alias("bands"))
+    shared = nodes.select("node", F.explode(F.slice("bands", 1, 4)).alias("key")).withColumn("head", F.lit(0).cast("long"))
+    none = spark.createDataFrame([], "node long, label long")
+    rule = near_dedup.Rule(3, 85)
+    assert rule.shared == 4 and near_dedup.Rule(5, 80).shared == 2
+    assert near_dedup.open_nodes(nodes, shared, none, rule).count() == n
+    one = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("label"))
+    assert near_dedup.open_nodes(nodes, shared, one, rule).count() == 0
+
+
+ODD_IDS = [(1, "password=abcdef the cat sat on the mat"), (1, "password=abcdef the cat sat on the mat"), (1, "another text for the same id"), (None, "a text without an id"), (None, None), (2, "")]
+
+
+@pytest.mark.parametrize("rows", [[], ODD_IDS])
+def test_each_operator_takes_empty_tables_repeats_and_clashing_names(spark, rows):
+    df = clashing(spark.createDataFrame([(*r, "en", "s", None) for r in rows], DOCS)).withColumn("meta.lang", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("of_blob", F.lit(3))
+    pages = df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *CLASHING, "`meta.lang`")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None)], "item_id long, text string")
+    n = len(rows)
+    found = {
+        1: warc.round_trip(pages), 2: token_store.round_trip(df, queries.vocabulary("byte_bpe_50k.json")), 3: quality.score_documents(df, labels), 4: secrets.findings(df),
+        5: sentencepieces.encode_documents(df, queries.vocabulary("piece_bpe_32k.model")), 6: language_id.predict_documents(df), 7: near_dedup.near_groups(df), 8: exact_dedup.exact_groups(df),
+        9: toxicity.score_documents(df, labels),
+    }
+    assert {k: x.count() for k, x in found.items()} == dict.fromkeys(found, n)
+    for k, x in found.items():
+        assert sorted(((r[0] is None, r[0]) for r in x.collect()), key=str) == sorted(((r[0] is None, r[0]) for r in rows), key=str), k
+    assert spaced_seeds.contaminated(df, bench).count() == (2 if rows else 0)
+    assert [r.base_sha256 for r in found[4].where("doc_id IS NULL").collect()] == [sha("")] * (2 if rows else 0)
+    kept = spaced_seeds.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r.text or "" for r in kept.collect()) == (["", "", "a text without an id"] if rows else [])
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == (sorted([(1, ODD_IDS[0][1]), (1, ODD_IDS[2][1]), (2, ""), (0, "a text without an id")]) if rows else [])
+    kept = near_dedup.drop_near_copies(df)
+    assert kept.columns == df.columns and kept.count() == n
+
+
+def test_drop_copies_goes_by_id_and_text(spark):
+    rows = [(5, "A", 1), (5, "B", 2), (9, "A", 3), (7, "C", 2), (7, "C", 1), (None, "D", 1), (None, "D", 2), (None, "A", 1)]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, v int"))
+    assert sorted((r.text, r.doc_id or 0, r.v) for r in kept.collect()) == [("A", 9, 3), ("B", 5, 2), ("C", 7, 1), ("D", 0, 1)]
+
+
+def test_a_caller_keeps_blob_and_spans(spark, tmp_path):
+    mine = spark.createDataFrame([(1, "password=abcdef", "mine", 4)], "doc_id long, text string, blob string, spans int")
+    row = secrets.scan_versions(mine, f"file://{tmp_path}/ledger").first()
+    assert (row.blob, row.spans, row.blob_, [s.end for s in row.spans_]) == ("mine", 4, sha("password=abcdef"), [15])
+
+
+def test_session_settings_stay(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for said in ("64m", "67108864b", "1g", "3mb"):
+            spark.conf.set(key, said)
+            assert quality.score(docs(spark, ["a"]), np.zeros(quality.COLUMNS, np.float32)).count() == 1
+            assert spark.conf.get(key) == said
+    finally:
+        spark.conf.set(key, before)
+    assert [textvec.byte_setting(x) for x in ("64m", "67108864b", "1g", "3mb", "12", "2k")] == [64 << 20, 64 << 20, 1 << 30, 3 << 20, 12, 2048]
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "password=abcdef é " * 3000
+    row = secrets.findings(docs(spark, [text])).first()
+    assert [row.n_assign, row.n_access, row.n_hex, row.base_sha256] == brute.base_row(text)
+
+
+def test_archives_say_what_other_readers_need(spark, tmp_path):
+    big = "é<p>" * 40_000
+    df = spark.createDataFrame([(1, "http://a/1", big), (2, "http://a/2", big), (3, None, "small")], "page_id long, url string, html string")
+    files = warc.write_archives(df, f"file://{tmp_path}/w")
+    records = []
+    for r in files.collect():
+        with open(f"{tmp_path}/w/{r.file}", "rb") as f:
+            records += [h for h, _ in warc.read_members(f)]
+    by = {h["warc-record-id"]: h for h in records}
+    assert len(by) == len(records) and all("warc-target-uri" in h for h in records)
+    revisit = next(h for h in records if h["warc-type"] == "revisit")
+    assert by[revisit["warc-refers-to"]]["x-page-id"] == "2" and revisit["warc-refers-to-target-uri"] == "http://a/2"
+    assert {h["warc-target-uri"] for h in records if h["warc-type"] == "continuation"} == {"http://a/2"}
+    twice = warc.round_trip(df.unionByName(df))
+    assert twice.count() == 6 and {r.url for r in twice.collect()} == {"http://a/1", "http://a/2", None}
+    with pytest.raises(warc.ArchiveError):
+        warc.unframed(b"3\r\nabc\r\n0\r\n")
 
 
 # --- 10 ------------------------------------------------------------------------------------------
