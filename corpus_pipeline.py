@@ -3,6 +3,10 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 ``run`` writes as Parquet in the shared folder and rereads as the next one's docs. All but the last
 return the columns of documents. An empty table goes through as an empty one.
+
+doc_id is the documents' key. Rows that repeat an id with the same text are one after the second stage;
+with different texts they go or stay together in the other stages. A row without an id is judged by its own
+text, and is no near copy of anything. Null and empty texts have no language and go in the first stage.
 """
 
 from __future__ import annotations
@@ -12,13 +16,14 @@ from pyspark.sql import functions as F
 
 from gazette.llm import exact_dedup, language_id, near_dedup, sentencepieces, spaced_seeds
 from gazette.llm.queries import vocabulary
-from gazette.shared import materialize, read_table, without
+from gazette.llm.rows import without_found
+from gazette.shared import materialize, read_table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without any letter go."""
-    found = language_id.predict_documents(docs).where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id")
-    return without(docs, found)
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return without_found(docs, lambda rows: language_id.identify(rows, model).where(F.col("lang_pred") == language_id.UNKNOWN))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
