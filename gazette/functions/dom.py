@@ -2,12 +2,14 @@
 
 No element is closed by implication: an end tag closes the nearest open element of its name and all
 within, and is ignored if there is none. Text of scripts, styles and templates is never visible text.
+Every walk goes with a stack of its own, so elements may nest as deep as a page likes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -24,16 +26,19 @@ class Node:
 
     def walk(self) -> Iterator[Node]:
         """Elements below, in document order."""
-        for x in list(self.children):
-            if isinstance(x, Node):
-                yield x
-                yield from x.walk()
+        ahead = [x for x in reversed(self.children) if isinstance(x, Node)]
+        while ahead:
+            node = ahead.pop()
+            yield node
+            ahead += [x for x in reversed(node.children) if isinstance(x, Node)]
 
     def strings(self) -> Iterator[str]:
-        for x in self.children:
+        ahead = self.children[::-1]
+        while ahead:
+            x = ahead.pop()
             if isinstance(x, Node):
                 if x.name not in HIDDEN:
-                    yield from x.strings()
+                    ahead += x.children[::-1]
             elif not isinstance(x, Raw):
                 yield x
 
@@ -47,22 +52,21 @@ class Node:
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [x for x in self.parent.children if x is not self]
-            self.parent = None
-
-    def unwrap(self) -> None:
-        """Put the children in the element's place."""
-        home = self.parent
-        if home is None:
-            return
-        at = next(k for k, x in enumerate(home.children) if x is self)
-        for x in self.children:
-            if isinstance(x, Node):
-                x.parent = home
-        home.children[at : at + 1] = self.children
-        self.parent = None
+    def prune(self, gone: Callable[[Node], bool]) -> list[Node]:
+        """Take out the elements below that ``gone`` says, with what they hold; what was taken out, in document order."""
+        out, ahead = [], [self]
+        while ahead:
+            node = ahead.pop()
+            kept = []
+            for x in node.children:
+                if isinstance(x, Node) and gone(x):
+                    x.parent = None
+                    out.append(x)
+                else:
+                    kept.append(x)
+            node.children = kept
+            ahead += [x for x in reversed(kept) if isinstance(x, Node)]
+        return out
 
     def ancestors(self) -> Iterator[Node]:
         node = self.parent
@@ -70,12 +74,33 @@ class Node:
             yield node
             node = node.parent
 
-    def html(self) -> str:
-        inner = "".join(x.html() if isinstance(x, Node) else str(x) if isinstance(x, Raw) else x if self.name in ("script", "style") else escape(x, quote=False) for x in self.children)
-        if self.name == "":
-            return inner
-        said = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
-        return f"<{self.name}{said}/>" if self.name in VOID else f"<{self.name}{said}>{inner}</{self.name}>"
+    def html(self, shown: Callable[[Node], bool | None] = lambda node: True, raw: bool = True) -> str:
+        """Markup of the element. ``shown`` says of each element whether it stands, only what it holds does (None), or neither; ``raw`` whether comments do."""
+        out: list[str] = []
+        ahead: list[Node | str] = [self]
+        plain = False
+        while ahead:
+            x = ahead.pop()
+            if isinstance(x, _End):
+                out.append(x)
+                plain = False
+            elif isinstance(x, Raw):
+                out += [x] * raw
+            elif isinstance(x, str):
+                out.append(x if plain else escape(x, quote=False))
+            elif (stands := shown(x) if x.name else None) or stands is None:
+                if stands:
+                    said = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in x.attrs.items())
+                    out.append(f"<{x.name}{said}/>" if x.name in VOID else f"<{x.name}{said}>")
+                    if x.name not in VOID:
+                        ahead.append(_End(f"</{x.name}>"))
+                        plain = x.name in ("script", "style")
+                ahead += x.children[::-1]
+        return "".join(out)
+
+
+class _End(str):
+    """A finished end tag."""
 
 
 class Raw(str):
@@ -86,6 +111,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.open = Node("", {}, None)
+        self.names: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = Node(tag, {}, self.open)
@@ -94,6 +120,7 @@ class _Builder(HTMLParser):
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,11 +128,14 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.open
-        while node is not None and node.name != tag:
+        if not self.names[tag]:
+            return
+        node = self.open
+        while node.name != tag:
+            self.names[node.name] -= 1
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.open = node.parent
+        self.names[tag] -= 1
+        self.open = node.parent
 
     def handle_data(self, data: str) -> None:
         self.open.children.append(data)

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gazette import fixed
-from gazette.functions.dom import Node, Raw, parse, select
+from gazette.functions.dom import HIDDEN, Node, Raw, parse, select
 
 
 def visible_text(html: str | None, without: tuple[str, ...] = ()) -> str:
     """Visible text; elements of the given names count as absent."""
     root = parse(html)
-    for x in root.find(*without) if without else ():
-        x.remove()
+    if without:
+        root.prune(lambda x: x.name in without)
     return root.text()
 
 
@@ -30,8 +30,7 @@ def prose_text(html: str | None) -> str:
 def content_html(html: str | None) -> str:
     """Without site furniture and decorative attributes."""
     root = parse(html)
-    for x in root.find(*fixed.NON_CONTENT_TAGS):
-        x.remove()
+    root.prune(lambda x: x.name in fixed.NON_CONTENT_TAGS)
     for x in root.walk():
         x.attrs = {k: v for k, v in x.attrs.items() if k in fixed.CONTENT_ATTRIBUTES}
     return root.html()
@@ -44,37 +43,50 @@ def is_safe(url: str) -> bool:
 
 def sanitized(html: str | None) -> str:
     """Allowed elements and attributes only. Scripts and styles go with what they hold; comments go too."""
-    root = parse(html)
-    for x in list(root.walk()):
-        x.children = [c for c in x.children if not isinstance(c, Raw)]
+    def shown(x: Node) -> bool | None:
         if x.name in ("script", "style"):
-            x.remove()
-        elif x.name not in fixed.ALLOWED_TAGS:
-            x.unwrap()
-        else:
-            allowed = fixed.ALLOWED_ATTRIBUTES.get(x.name, ())
-            x.attrs = {k: v for k, v in x.attrs.items() if k in allowed and (k not in ("href", "src") or is_safe(v))}
-            if x.name == "table":
-                x.attrs["class"] = "table table-bordered"
-    root.children = [c for c in root.children if not isinstance(c, Raw)]
-    return root.html()
+            return False
+        if x.name not in fixed.ALLOWED_TAGS:
+            return None
+        allowed = fixed.ALLOWED_ATTRIBUTES.get(x.name, ())
+        x.attrs = {k: v for k, v in x.attrs.items() if k in allowed and (k not in ("href", "src") or is_safe(v))}
+        if x.name == "table":
+            x.attrs["class"] = "table table-bordered"
+        return True
+
+    return parse(html).html(shown, raw=False)
 
 
 def main_content(html: str | None) -> str:
     """The container with the longest visible text (first of equals), if it holds half of the body's, else the body."""
     root = parse(html)
-    body = next(iter(root.find("body")), None)
-    total = len(body.text()) if body else 0
+    body, sizes = next(iter(root.find("body")), None), text_sizes(root)
     best, most = None, 0
     for selector in fixed.CONTENT_SELECTORS:
         for x in select(root, selector):
-            if (n := len(x.text())) > most:
+            if (n := sizes[id(x)]) > most:
                 best, most = x, n
-    if best is not None and most >= total * fixed.CONTAINER_SHARE:
+    if best is not None and most >= (sizes[id(body)] if body else 0) * fixed.CONTAINER_SHARE:
         return best.html()
     return body.html() if body else ""
 
 
+def text_sizes(root: Node) -> dict[int, int]:
+    """Length of each element's visible text, by the element's identity, from one walk: children come after parents, so sums go backwards."""
+    nodes = [root, *root.walk()]
+    own: dict[int, list[int]] = {}
+    for x in reversed(nodes):
+        size, parts = 0, 0
+        for c in x.children:
+            if isinstance(c, Node):
+                if c.name not in HIDDEN:
+                    size, parts = size + own[id(c)][0], parts + own[id(c)][1]
+            elif not isinstance(c, Raw) and (n := len(c.strip())):
+                size, parts = size + n, parts + 1
+        own[id(x)] = [size, parts]
+    return {k: size + max(0, parts - 1) for k, (size, parts) in own.items()}
+
+
 def images(html: str | None, base: str | None) -> list[str]:
     """Absolute http URLs of image elements and of Markdown images, sorted."""
     found = [x.attrs.get("src", "") for x in parse(html).find("img")] + re.findall(r"!\[.*?]\((.*?)\)", html or "")
@@ -89,30 +101,32 @@ def joined_url(base: str, href: str) -> str:
 
 
 def sourced_images(summary: str | None, source: str | None, known: list[str] | None) -> tuple[str, list[str]]:
-    """The summary without images that the source doesn't have, and what was dropped."""
-    if "<img" not in (summary or "").lower():
-        return summary or "", []
-    root, dropped = parse(summary), []
-    for x in root.find("img"):
-        src = x.attrs.get("src", "").strip()
-        if not src or src not in set(known or ()) and src not in (source or ""):
-            dropped.append(src or "(no src)")
-            x.remove()
-    return (root.html(), dropped) if dropped else (summary or "", [])
+    """The summary without images that the source doesn't have, and the addresses of what was dropped (empty for none)."""
+    address = lambda x: x.attrs.get("src", "").strip()
+    root, listed, page = parse(summary), frozenset(known or ()), source or ""
+    sourced = lambda src: bool(src) and (src in listed or src in page)
+    dropped = root.prune(lambda x: x.name == "img" and not sourced(address(x)))
+    return (root.html() if dropped else summary or ""), [address(x) for x in dropped]
 
 
 def sections(html: str | None) -> dict[str, str]:
     """Prose of each marked section: from a top-level h3 with a marker to the next h3. Later ones replace earlier."""
+    return sections_of(parse(html))
+
+
+def sections_of(root: Node) -> dict[str, str]:
+    """The same of a tree; code in it is gone afterwards."""
+    root.prune(lambda x: x.name in ("pre", "code"))
     out: dict[str, str] = {}
     marker, held = None, []
-    for x in [*parse(html).children, Node("h3", {}, None)]:
+    for x in [*root.children, Node("h3", {}, None)]:
         if isinstance(x, Node) and x.name == "h3":
             if marker:
                 out[marker] = " ".join(held).strip()
             heading = x.text("")
             marker, held = next((m for m in fixed.SECTION_MARKERS if m in heading), None), []
         elif marker:
-            held.append(prose_text(x.html() if isinstance(x, Node) else escape(x, quote=False) if not isinstance(x, Raw) else x))
+            held.append(x.text() if isinstance(x, Node) and x.name not in HIDDEN else x.strip() if not isinstance(x, Node | Raw) else "")
     return out
 
 
@@ -178,28 +192,55 @@ _MEASURES = (
 MEASUREMENT = StructType([StructField(name, _KINDS[kind]) for name, kind in _MEASURES])
 
 
+def captioned_images(root: Node) -> int:
+    """Images whose innermost figure has a caption with text; of several captions in a figure the first one counts."""
+    captions: dict[int, bool] = {}
+    images: list[int | None] = []
+    # Beside each element the chain of figures that it stands in, the innermost first.
+    ahead: list[tuple[Node, tuple]] = [(root, ())]
+    while ahead:
+        node, figures = ahead.pop()
+        if node.name == "figure":
+            figures = (id(node), figures)
+        elif node.name == "img":
+            images.append(figures[0] if figures else None)
+        elif node.name == "figcaption":
+            said, above = bool(node.text("")), figures
+            while above and above[0] not in captions:
+                captions[above[0]] = said
+                above = above[1]
+        ahead += [(x, figures) for x in reversed(node.children) if isinstance(x, Node)]
+    return sum(captions.get(f, False) for f in images if f is not None)
+
+
 def measured(html: str | None) -> tuple:
     """What the rubric needs of a summary's tree; texts for the measures that are native."""
     root = parse(html)
-    text, parts = prose_text(html), sections(html)
-    pictures, captioned = root.find("img"), 0
-    for x in pictures:
-        figure = next((a for a in x.ancestors() if a.name == "figure"), None)
-        caption = next(iter(figure.find("figcaption")), None) if figure else None
-        captioned += bool(caption and caption.text(""))
+    pictures, pres, tables, subheads = (len(root.find(*names)) for names in (("img",), ("pre",), ("table",), ("h4", "h5", "h6")))
+    captioned = captioned_images(root)
+    root.prune(lambda x: x.name in ("pre", "code"))
+    text, parts = root.text(), sections_of(root)
     present = [m for m in fixed.SECTION_MARKERS if m in parts]
     earlier = " ".join(parts.get(m, "") for m in fixed.EARLIER_SECTIONS)
-    return (len(text), present, sum(m in parts for m in fixed.REQUIRED_SECTIONS), [m for m in fixed.SECTION_MARKERS if m not in parts], len(root.find("h4", "h5", "h6")), sum(text.count(p) for p in fixed.ABSENCE_FILLER), len(root.find("pre")), len(root.find("table")), len(pictures), captioned, text, parts.get(fixed.RESULTS_SECTION, ""), earlier)
+    return (len(text), present, sum(m in parts for m in fixed.REQUIRED_SECTIONS), [m for m in fixed.SECTION_MARKERS if m not in parts], subheads, sum(text.count(p) for p in fixed.ABSENCE_FILLER), pres, tables, pictures, captioned, text, parts.get(fixed.RESULTS_SECTION, ""), earlier)
 
 
 def _string_udf(f):
     @F.pandas_udf(StringType())
     def run(html: pd.Series) -> pd.Series:
-        return html.map(lambda x: None if x is None else f(x))
+        return html.map(lambda x: None if x is None else attempted(f, x))
 
     return run
 
 
+def attempted(f, html: str) -> str | None:
+    """The function's result; a document that it can't take gives null and leaves the others alone."""
+    try:
+        return f(html)
+    except (ValueError, AssertionError, RecursionError):
+        return None
+
+
 visible_text_udf = _string_udf(visible_text)
 prose_text_udf = _string_udf(prose_text)
 content_html_udf = _string_udf(content_html)

@@ -45,7 +45,7 @@ def test_images():
 
 def test_sourced_images():
     said = '<p>x</p><img src="/a.png"/><img src="/b.png"/><img/>'
-    assert html.sourced_images(said, 'src="/a.png"', []) == ('<p>x</p><img src="/a.png"/>', ["/b.png", "(no src)"])
+    assert html.sourced_images(said, 'src="/a.png"', []) == ('<p>x</p><img src="/a.png"/>', ["/b.png", ""])
     assert html.sourced_images("<p>x</p>", "", None) == ("<p>x</p>", [])
 
 
@@ -55,6 +55,22 @@ def test_markdown():
     assert "<ul><li>x</li><li>y</li></ul>" in got and '<pre class="pre-scrollable">' in got and "bad" not in got
 
 
+def test_deep_and_broken_pages():
+    deep = "<p>x" * 100_000
+    for f in (html.visible_text, html.content_html, html.sanitized, html.main_content, html.markdown_html, html.prose_text):
+        assert isinstance(f(deep), str)
+    assert html.measured(deep)[0] == 199_999 and html.sections(deep) == {}
+    assert html.sanitized("<x>" * 50_000 + "a" + "</y>" * 50_000) == "a"
+    assert parse("<script>a < b</script><p>a &lt; b<style>c > d</style></p>").html() == "<script>a < b</script><p>a &lt; b<style>c > d</style></p>"
+
+
+def test_captions_belong_to_the_innermost_figure():
+    count = lambda said: html.captioned_images(parse(said))
+    assert count("<figure><img><img><figcaption>c</figcaption></figure><img>") == 2
+    assert count("<figure><img><figure><img><figcaption></figcaption></figure><figcaption>c</figcaption></figure>") == 0
+    assert count("<figure><img><figure><img></figure><figcaption>c</figcaption></figure>") == 1
+
+
 def test_sections():
     got = html.sections("<p>skip</p><h3>📌 One</h3><p>a</p><p>b</p><h3>Other</h3><p>c</p><h3>📊 Two</h3><p>d</p>")
     assert got == {"📌": "a b", "📊": "d"}
