@@ -12,7 +12,7 @@ from gazette import fixed
 from gazette.functions import scores, text, urls
 from gazette.functions.html import visible_text_udf
 from gazette.operators.joins import with_logo
-from gazette.operators.ranking import counted_rank
+from gazette.operators.ranking import global_rank
 
 
 def articles(posts: DataFrame, logos: DataFrame, language: str) -> DataFrame:
@@ -30,7 +30,7 @@ def articles(posts: DataFrame, logos: DataFrame, language: str) -> DataFrame:
             "file": text.post_filename(F.col("title"), F.col("source"), F.col("link")),
         }
     )
-    return counted_rank(view, ("score", "day"), [F.asc("file")], "place")
+    return global_rank(view, [F.desc("score"), F.desc("day"), F.asc("file")], "place")
 
 
 def card(article: dict[str, Any], language: str) -> str:
@@ -57,7 +57,7 @@ def issue(cards: list[str], title: str, introduction: str, footer: str, day: str
     body = "\n".join(cards)
     html = (
         f'<!DOCTYPE html>\n<html lang="{escape(language)}">\n<head><meta charset="utf-8"/><title>{escape(title)}</title></head>\n<body>\n'
-        f'<div style="display:none">{escape(introduction)[:140]}</div>\n<h1>{escape(title)}</h1>\n<p>{escape(day)}</p>\n<p>{escape(introduction)}</p>\n'
+        f'<div style="display:none">{escape(introduction[:140])}</div>\n<h1>{escape(title)}</h1>\n<p>{escape(day)}</p>\n<p>{escape(introduction)}</p>\n'
         f"<table>\n{body}\n</table>\n<p>{escape(footer)}</p>\n</body>\n</html>"
     )
     return tight(html)

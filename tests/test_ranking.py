@@ -97,3 +97,24 @@ def test_greedy_random(spark):
     for n in (20, 60, 200):
         rows = [(f"l{r.randint(0, n // 2)}", r.choice(["", *[f"k{x}" for x in range(n // 2)]])) for _ in range(n)]
         assert deduped(spark, rows) == plain_greedy(rows)
+
+
+def test_greedy_chains_fold(spark, monkeypatch):
+    """300 chains of 40 rows, each row waiting for the one before, and one that is too large to be folded."""
+    from gazette.operators import ranking
+
+    rounds = []
+    plain = ranking._round
+    monkeypatch.setattr(ranking, "_round", lambda left, path: rounds.append(1) or plain(left, path))
+    rows = [(f"l{c}-{k // 2}", f"k{c}-{(k + 1) // 2}") for k in range(40) for c in range(300)]
+    assert deduped(spark, rows) == plain_greedy(rows) and len(rounds) < 5
+    df = spark.createDataFrame([(k, f"l{k // 2}", f"k{(k + 1) // 2}") for k in range(12)], "ord long, link string, title_key string")
+    assert sorted(r.ord for r in ranking.greedy_dedup(df, folded=3).collect()) == list(range(0, 12, 2))
+
+
+def test_contributed_counts(spark):
+    from gazette.operators import health
+
+    fetched = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "source string, ord long")
+    got = health.contributed(fetched, fetched.where("ord = 1"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1, "ok"), ("b", 0, 1, "ok")]
