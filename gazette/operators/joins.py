@@ -55,6 +55,11 @@ def unsourced(rows: DataFrame, urls_column: str, html: str) -> DataFrame:
     return rows.withColumn("unsourced", F.filter(urls_column, lambda u: (u != "") & ~F.contains(F.col(html), u)))
 
 
+def overridden(old, new):
+    """A map column with the entries of another over it; a null there is a value too."""
+    return F.map_zip_with(old, new, lambda k, a, b: F.when(F.map_contains_key(new, k), b).otherwise(a))
+
+
 def merged_by_link(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``old`` that ``new`` has too, with the new values of ``columns``."""
     return old.drop(*columns).join(new.select("link", *columns), "link")

@@ -23,10 +23,11 @@ def evaluate(summaries: DataFrame) -> DataFrame:
     rows = summaries.select("article_id", html.alias("html"), text.trimmed(lede).alias("lede"), lede.alias("raw_lede"), measured_udf(html).alias("m"))
     m = {c: F.col(f"m.{c}") for c in ("length", "required_sections", "subheads", "absence_filler", "code_blocks", "tables", "images", "captioned")}
     prose = F.col("m.prose")
+    again = F.array_sort(F.array_intersect(text.quantities(F.col("m.results")), text.quantities(F.col("m.earlier"))))
     m |= {
         "plain_sentences": F.size(text.plain_register(prose)),
         "terminal_colons": text.terminal_colons(F.col("html")),
-        "repeated": F.size(F.array_intersect(text.quantities(F.col("m.results")), text.quantities(F.col("m.earlier")))),
+        "repeated": F.size(again),
         "quantity_count": F.size(text.quantities(prose)),
         "closings": sum((F.contains(prose, F.lit(p)).cast("int") for p in fixed.BANNED_CLOSINGS[1:]), F.contains(prose, F.lit(fixed.BANNED_CLOSINGS[0])).cast("int")),
         "lede_length": F.length("lede"),
@@ -35,7 +36,7 @@ def evaluate(summaries: DataFrame) -> DataFrame:
         "translationese_hits": hits(text.marker_counts(prose, fixed.TRANSLATIONESE)),
         "cliche_hits": hits(text.marker_counts(prose, fixed.CLICHES)),
     }
-    taken = rows.select("article_id", F.col("m.missing").alias("missing_sections"), *[c.alias(k) for k, c in m.items()])
+    taken = rows.select("article_id", F.col("m.missing").alias("missing_sections"), again.alias("repeated_quantities"), *[c.alias(k) for k, c in m.items()])
     scored = taken.withColumns({f"{k}_score": c for k, c in scores.rubric({k: F.col(k) for k in m}).items()})
     parts = [F.col(f"{d}_score") for d in fixed.DIMENSIONS]
     return scored.withColumn("overall", sum(parts[1:], parts[0]) / len(parts))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.operators.guard import is_email_udf
+from gazette.operators.joins import merged_by_link
 
 POST = "title string, link string, published string, content string, images array<string>, source string, summary string, one_liner string, tags array<string>, urls array<string>, score double"
 EVAL_SET = "description string, criteria string, included_topics array<string>, excluded_topics array<string>, articles array<struct<id:string,expected_band:string,title:string,content:string,note:string>>"
@@ -30,6 +31,42 @@ def read_posts(spark: SparkSession, path: str, day: str | None = None) -> DataFr
         return spark.createDataFrame([], f"{POST}, date string, file string")
 
 
+def list_posts(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The posts of a day or of all, in order of their files' names, then of title and link."""
+    return read_posts(spark, path, day).orderBy("file", "title", "link")
+
+
+def write_regenerated(stored: DataFrame, new: DataFrame, path: str, suffix: str) -> None:
+    """The stored posts with content that were summarized anew, matched by link, with the new values, as days of their own: the date with the suffix."""
+    fresh = merged_by_link(stored.where(F.length("content") > 0), new, ["summary", "one_liner", "tags", "urls"])
+    write_posts(fresh.drop("file").withColumn("date", F.concat(F.col("date").cast("string"), F.lit(suffix))), path)
+
+
+def write_greeting(spark: SparkSession, path: str, day: str, greeting: str) -> str:
+    """The greeting as a text file beside the day's posts, replaced if it was there; its path."""
+    where = f"{path}/date={day}/_greeting.txt"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(greeting.encode()))
+    finally:
+        out.close()
+    return where
+
+
+def read_greeting(spark: SparkSession, path: str, day: str) -> str | None:
+    """The day's greeting; None if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}/_greeting.txt")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def well_formed(rows: DataFrame, column: str) -> DataFrame:
     """Rows that could be parsed. Spark takes the mark of the others only beside a column of the data, so one is named."""
     named = F.coalesce(F.length(F.col(column).cast("string")), F.lit(0)) >= 0

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette import config
-from gazette.operators import alerts, delivery, evalmetrics, greeting, guard, health, model, prompts, render, rubric
+from gazette.operators import alerts, delivery, evalmetrics, greeting, guard, health, joins, model, prompts, render, rubric
+from gazette.sources import files
 from gazette.streaming import digest
 
 
@@ -112,12 +113,68 @@ def test_delivery_resumes(spark, tmp_path):
     assert (second["skipped"], second["attempted"]) == (1, 1) and sent.count("c@x.example") == 1
 
 
-def test_alarms():
-    subject, message = alerts.format_alarm("Crawl", "ALERT", {"Day": "1", "Longer": "2", "Log": "a\nb"}, "p", datetime(2026, 6, 10, 4, 12))
-    assert subject == "[p] Crawl — ALERT"
-    assert message == "Crawl ALERT\n\nDay:    1\nLonger: 2\n\nLog:\na\nb\n\n— 2026-06-10 04:12:00 UTC"
-    assert alerts.due({"collected": 3, "rejected": 3, "chosen": 0, "resolved": 0}) == ["empty digest", "no recipients"]
-    assert alerts.due({"bytes": 102_400, "chosen": 2}) == []
+def test_alarms(spark):
+    fields = spark.createDataFrame([("Crawl", "ALERT", 2, "Log", "a\nb\n"), ("Crawl", "ALERT", 1, "Longer", "2"), ("Crawl", "ALERT", 0, "Day", "1"), ("Run", "OK", 0, "Log", "x\ny")], "event string, status string, ord int, field string, value string")
+    rows = {r.event: r for r in alerts.alarms(fields, "p", F.lit("2026-06-10 04:12:00").cast("timestamp")).collect()}
+    assert rows["Crawl"].subject == "[p] Crawl — ALERT"
+    assert rows["Crawl"].message == "Crawl ALERT\n\nDay:    1\nLonger: 2\n\nLog:\na\nb\n\n— 2026-06-10 04:12:00 UTC"
+    assert rows["Run"].message == "Run OK\n\n\nLog:\nx\ny\n\n— 2026-06-10 04:12:00 UTC"
+    run = "failed int, broken int, total_posts int, rejected int, chosen int, failed_deliveries int, resolved int, bytes int, error string"
+    fires = lambda *x: [r.event for r in alerts.due(spark.createDataFrame([x], run)).collect() if r.fires]
+    assert fires(None, None, 3, 3, 0, None, 0, None, None) == ["empty digest", "no recipients"]
+    assert fires(None, None, 3, 0, 0, None, None, 102_400, None) == fires(*[None] * 9) == []
+    assert fires(1, 0, 3, 1, 2, 4, 9, 102_401, "x") == ["crawl health", "partial delivery", "clipped issue", "run failure"]
+
+
+def test_messages():
+    m = delivery.message("S", "news@a.example", ["r@b.example"], "<p>é</p>")
+    assert (m["Subject"], m["To"], m["List-Unsubscribe"]) == ("S", "r@b.example", "<mailto:news@a.example?subject=unsubscribe>") and "@a.example>" in m["Message-ID"]
+    assert m.get_payload()[0].get_payload(decode=True).decode() == "<p>é</p>"
+    assert delivery.message("S", "nobody", ["r@b.example"], "")["List-Unsubscribe"] is None
+    sent = []
+    send = delivery.sender_of(lambda *x: sent.append(x[:2]), "S", "news@a.example", "<p>x</p>")
+    assert send("r@b.example") and not send("") and sent == [("news@a.example", ["r@b.example"])]
+
+
+def test_a_run_that_breaks_off_leaves_its_ledger(spark, tmp_path):
+    people = spark.createDataFrame([("a@x.example",), ("A@X.example",), ("b@x.example",), ("c@x.example",)], "email string")
+
+    def crash(email):
+        if email.startswith("c"):
+            raise KeyboardInterrupt
+        return True
+
+    with pytest.raises(KeyboardInterrupt):
+        delivery.deliver(people, str(tmp_path), "dev", "2024-01-01", "en", crash)
+    sent = []
+    after = delivery.deliver(people, str(tmp_path), "dev", "2024-01-01", "en", lambda e: sent.append(e) or True, batch=1)
+    assert (after["resolved"], after["skipped"], sent) == (3, 2, ["c@x.example"])
+
+
+def test_regenerated_days_and_greetings(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    post = "title string, link string, content string, summary string, one_liner string, tags array<string>, urls array<string>, date string"
+    rows = [("B", "l2", "c", "old", "o", ["t"], [], "2024-01-02"), ("A", "l1", "c", "old", "o", ["t"], [], "2024-01-02"), ("C", "l3", "", "old", "o", [], [], "2024-01-02")]
+    files.write_posts(spark.createDataFrame(rows, post), path)
+    listed = files.list_posts(spark, path, "2024-01-02").collect()
+    assert [(r.file, r.title) for r in listed] == sorted((r.file, r.title) for r in listed) and len(listed) == 3
+    new = spark.createDataFrame([("l1", "new", "n", ["u"], ["x"]), ("l3", "new", "n", [], [])], "link string, summary string, one_liner string, tags array<string>, urls array<string>")
+    files.write_regenerated(files.read_posts(spark, path, "2024-01-02"), new, path, "-b")
+    assert [(r.title, r.summary, r.tags) for r in files.read_posts(spark, path, "2024-01-02-b").collect()] == [("A", "new", ["u"])]
+    assert files.read_posts(spark, path, "2024-01-02").count() == 3 and files.read_greeting(spark, path, "2024-01-02") is None
+    files.write_greeting(spark, path, "2024-01-02", "Guten Tag\né")
+    assert files.read_greeting(spark, path, "2024-01-02") == "Guten Tag\né" and files.read_posts(spark, path, "2024-01-02").count() == 3
+
+
+def test_overridden_maps(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS old, map('b', CAST(NULL AS INT), 'c', 3) AS new")
+    assert df.select(joins.overridden(F.col("old"), F.col("new")).alias("x")).first().x == {"a": 1, "b": None, "c": 3}
+
+
+def test_repeated_quantities_are_sorted(spark):
+    html = "<h3>🛠️ b</h3><p>9% 그리고 22% 입니다.</p><h3>📊 c</h3><p>22% 그리고 9% 입니다.</p>"
+    row = rubric.evaluate(spark.createDataFrame([("a", html, "")], "article_id string, summary_html string, one_liner string")).first()
+    assert row.repeated_quantities == sorted(["22%", "9%"])
 
 
 def test_greetings():
