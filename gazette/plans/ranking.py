@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gazette import fixed
 from gazette.functions import text
 from gazette.operators import frames
-from gazette.operators.ranking import counted_rank, greedy_dedup, ranked, select_for_digest
+from gazette.operators.ranking import global_rank, greedy_dedup, ranked, select_for_digest
 from gazette.plans.registry import query
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -18,7 +18,7 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
     f"WITH {frames.SCORED} SELECT post_id, score, row_number() OVER (ORDER BY score DESC, published DESC, ord) AS rank FROM scored",
 )
 def w01(spark, sf):
-    return ranked(frames.scored(spark, sf)).select("post_id", "score", "rank")
+    return ranked(frames.scored(spark, sf).select("post_id", "score", "published", "ord")).select("post_id", "score", "rank")
 
 
 def line_up(spark, sf, max_posts, cap):
@@ -93,22 +93,22 @@ def w05(spark, sf):
 
 @query(
     "w06_render_order",
-    f"""WITH {frames.SCORED}, named AS (SELECT post_id, source, score, strftime(published, '%Y-%m-%d') AS day, source || '-' || lpad(post_id::varchar, 9, '0') || '.json' AS file FROM scored WHERE day(published) = 3)
-SELECT post_id, file, row_number() OVER (PARTITION BY source ORDER BY score DESC, day DESC, file) AS place FROM named""",
+    f"""WITH {frames.SCORED}, named AS (SELECT post_id, source, score, strftime(published, '%Y-%m-%d') AS day, source || '-' || lpad(post_id::varchar, 9, '0') || '.json' AS file FROM scored)
+SELECT post_id, file, row_number() OVER (ORDER BY score DESC, day DESC, file) AS place FROM named""",
 )
 def w06(spark, sf):
     rows = frames.scored(spark, sf)
     named = rows.select("post_id", "score", F.date_format("published", "yyyy-MM-dd").alias("day"), F.concat("source", F.lit("-"), F.lpad(F.col("post_id").cast("string"), 9, "0"), F.lit(".json")).alias("file"))
-    return counted_rank(named, ("score", "day"), [F.asc("file")], "place").select("post_id", "file", "place")
+    return global_rank(named, [F.desc("score"), F.desc("day"), F.asc("file")], "place").select("post_id", "file", "place")
 
 
 @query(
     "w07_article_names",
-    f"""WITH {frames.SCORED} SELECT post_id, 'newsletter-dev-2024-01-31-en-a' || lpad((row_number() OVER (ORDER BY score DESC, published DESC, ord))::varchar, 2, '0') || '.html' AS name
-FROM (SELECT * FROM scored ORDER BY score DESC, published DESC, ord LIMIT 20)""",
+    f"""WITH {frames.SCORED} SELECT post_id, 'newsletter-dev-2024-01-31-en-a' || CASE WHEN n < 100 THEN lpad(n::varchar, 2, '0') ELSE n::varchar END || '.html' AS name
+FROM (SELECT post_id, row_number() OVER (ORDER BY score DESC, published DESC, ord) AS n FROM scored)""",
 )
 def w07(spark, sf):
-    placed = select_for_digest(frames.scored(spark, sf), None, None)
+    placed = select_for_digest(frames.scored(spark, sf).select("post_id", "source", "score", "published", "ord"), None, None)
     number = F.col("position").cast("string")
     padded = F.when(F.col("position") < 100, F.lpad(number, 2, "0")).otherwise(number)
     return placed.select("post_id", F.concat(F.lit("newsletter-dev-2024-01-31-en-a"), padded, F.lit(".html")).alias("name"))
@@ -134,7 +134,7 @@ def s01(spark, sf):
 
 @query(
     "s06_tag_cap",
-    f"""WITH {frames.POSTS}, w AS (SELECT post_id, unnest(string_split(left(content, 200), ' ')) AS word, generate_subscripts(string_split(left(content, 200), ' '), 1) AS i FROM posts),
+    f"""WITH {frames.POSTS}, w AS (SELECT post_id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) AS i FROM posts),
 f AS (SELECT post_id, word, min(i) AS i FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY i) AS n FROM f)
 SELECT post_id, string_agg(word, '|' ORDER BY i) AS tags FROM r WHERE n <= 5 GROUP BY post_id""",
 )

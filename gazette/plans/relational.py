@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gazette import fixed
 from gazette.functions import dates, scores, text
-from gazette.operators import frames
+from gazette.operators import frames, health, joins, model
+from gazette.streaming import digest
 from gazette.plans.registry import query
 
 P = f"WITH {frames.POSTS} "
@@ -19,9 +20,10 @@ def f01(spark, sf):
     return frames.posts(spark, sf).select("post_id", title.alias("title"), "link", "source")
 
 
-@query("f02_content_choice", P + "SELECT post_id, CASE WHEN length(left(content, 500)) < 3000 AND length(content) > length(left(content, 500)) THEN 'page' ELSE 'feed' END AS chosen, CASE WHEN length(content) > 500 THEN length(content) ELSE length(left(content, 500)) END AS chars FROM posts")
+@query("f02_content_choice", P + "SELECT post_id, CASE WHEN length(summary) < 3000 AND length(content) > length(summary) THEN 'page' ELSE 'feed' END AS chosen, CASE WHEN length(summary) < 3000 AND length(content) > length(summary) THEN length(content) ELSE length(summary) END AS chars FROM (SELECT *, CASE WHEN post_id % 3 = 0 THEN repeat(content, 2) WHEN post_id % 3 = 1 THEN title ELSE content END AS summary FROM posts)")
 def f02(spark, sf):
-    feed, page = F.left("content", F.lit(500)), F.col("content")
+    k, page = F.col("post_id") % 3, F.col("content")
+    feed = F.when(k == 0, F.repeat("content", F.lit(2))).when(k == 1, F.col("title")).otherwise(page)
     better = (F.length(feed) < fixed.FULL_SCRAPE_THRESHOLD) & (F.length(page) > F.length(feed))
     return frames.posts(spark, sf).select("post_id", F.when(better, "page").otherwise("feed").alias("chosen"), F.length(F.when(better, page).otherwise(feed)).cast("long").alias("chars"))
 
@@ -46,11 +48,11 @@ def f04(spark, sf):
     return frames.posts(spark, sf).where(dates.published(said).isNotNull()).select("post_id")
 
 
-@query("f05_length_gate", P + "SELECT post_id, length(content) >= 600 AS kept, CASE WHEN length(content) < 600 THEN 'Content too short: ' || length(content) || ' of 600 characters.' END AS reason FROM posts")
+@query("f05_length_gate", f"WITH {frames.POSTS}, v AS (SELECT post_id, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS n FROM posts) SELECT post_id, n >= 600 AS kept, CASE WHEN n < 600 THEN 'Insufficient content: ' || n || ' visible chars (minimum 600). Skipped before summarization.' END AS reason FROM v")
 def f05(spark, sf):
-    n = F.length("content")
-    short = F.format_string("Content too short: %d of %d characters.", n, F.lit(fixed.MIN_CONTENT_LENGTH))
-    return frames.posts(spark, sf).select("post_id", (n >= fixed.MIN_CONTENT_LENGTH).alias("kept"), F.when(n < fixed.MIN_CONTENT_LENGTH, short).alias("reason"))
+    plain = frames.posts(spark, sf).withColumn("content", F.translate("content", "<&", "  "))
+    kept, rejected = model.gate(plain)
+    return kept.select("post_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("post_id", F.lit(False).alias("kept"), "reason"))
 
 
 @query("f06_empty_content", "SELECT doc_id, 'No content available to evaluate.' AS reason FROM documents WHERE coalesce(text, '') = '' UNION ALL SELECT doc_id, NULL FROM documents WHERE coalesce(text, '') <> ''")
@@ -93,8 +95,8 @@ def f09(spark, sf):
 @query("f11_unexpected_sources", f"WITH {frames.HEALTH} SELECT url FROM health WHERE (status = 'failed' OR (status = 'empty' AND candidates = 0)) AND NOT contains(url, 'moved.')")
 def f11(spark, sf):
     h = frames.health(spark, sf)
-    bad = h.where((F.col("status") == "failed") | ((F.col("status") == "empty") & (F.col("candidates") == 0)))
-    return bad.where(~F.col("url").contains("moved.")).select("url")
+    bad = h.where((F.col("status") == "failed") | health.likely_broken())
+    return joins.without_flaky(bad, frames.literal(spark, [("moved.",)], "pattern string")).select("url")
 
 
 @query("f19_filter_input", P + "SELECT post_id, length(content) AS chars FROM posts WHERE content <> ''")
@@ -158,8 +160,8 @@ def u08(spark, sf):
 @query("stream_weekly_counts", "SELECT strftime(DATE '2024-01-01' + CAST(7 * (date_diff('day', DATE '2024-01-01', ts::date) // 7) AS INT), '%Y-%m-%d') AS week, event_type, count(*) AS n FROM events GROUP BY ALL")
 def weekly(spark, sf):
     e = frames.table(spark, sf, "events")
-    week = F.window("ts", "7 days", None, "4 days")
-    return e.groupBy(week.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "event_type", "n")
+    weeks = digest.weekly_counts(e.select(F.col("ts").alias("published"), F.col("event_type").alias("source")))
+    return weeks.select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.col("source").alias("event_type"), "n")
 
 
 @query("js01_event_props", "SELECT event_id, (props::json->>'k')::int AS k FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gazette import fixed
 from gazette.functions import dates, scores, text, urls
-from gazette.operators import frames
+from gazette.operators import alerts, frames
 from gazette.plans.ranking import TITLE_KEY
 from gazette.plans.registry import query
 
@@ -35,7 +35,7 @@ def t02(spark, sf):
     return frames.posts(spark, sf).select("post_id", text.plain_spaces(spaced).alias("title"))
 
 
-@query("t03_comma_tags", P + "SELECT post_id, array_to_string(list_filter(list_transform(string_split(left(content, 300), ','), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> ''), '|') AS tags FROM posts")
+@query("t03_comma_tags", P + "SELECT post_id, array_to_string(list_filter(list_transform(string_split(content, ','), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> ''), '|') AS tags FROM posts")
 def t03(spark, sf):
     return frames.posts(spark, sf).select("post_id", F.array_join(text.tags_of(F.col("content")), "|").alias("tags"))
 
@@ -346,12 +346,12 @@ def snk09(spark, sf):
     return frames.table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), height - 1, F.lit(fixed.PAGE_STEP).cast("long"))).alias("top"))
 
 
-@query("f30_alarm_rows", P + "SELECT source, '[gazette] crawl — ALERT' AS subject, 'Source:  ' || source || chr(10) || 'Posts:   ' || count(*) AS body FROM posts GROUP BY source")
+@query("f30_alarm_rows", P + "SELECT source AS event, '[gazette] ' || source || ' — ALERT' AS subject, source || ' ALERT' || chr(10) || chr(10) || 'Source: ' || source || chr(10) || 'Posts:  ' || count(*) || chr(10) || chr(10) || 'Titles:' || chr(10) || min(title) || chr(10) || max(title) || chr(10) || chr(10) || '— 2024-01-31 04:12:00 UTC' AS message FROM posts GROUP BY source")
 def f30(spark, sf):
-    n = frames.posts(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    width = len("Source:") + 1
-    body = F.concat(F.rpad(F.lit("Source:"), width, " "), F.lit(" "), "source", F.lit("\n"), F.rpad(F.lit("Posts:"), width, " "), F.lit(" "), F.col("n").cast("string"))
-    return n.select("source", F.lit("[gazette] crawl — ALERT").alias("subject"), body.alias("body"))
+    n = frames.posts(spark, sf).groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("n"), F.concat_ws("\n", F.min("title"), F.max("title"), F.lit("")).alias("titles"))
+    said = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("field"), F.col(c).alias("value")) for k, (name, c) in enumerate((("Source", "source"), ("Titles", "titles"), ("Posts", "n")))])
+    fields = n.select(F.col("source").alias("event"), F.lit("ALERT").alias("status"), F.explode(said).alias("x")).select("event", "status", "x.*")
+    return alerts.alarms(fields, "gazette", F.lit("2024-01-31 04:12:00").cast("timestamp")).drop("status")
 
 
 @query("t08_sentences", P + "SELECT post_id, len(list_filter(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS sentences FROM posts")
@@ -361,12 +361,12 @@ def t08(spark, sf):
 
 @query("t10_quantities")
 def t10(spark, sf):
-    said = F.concat(F.lit("22% of "), "post_id", F.lit(" GB, "), F.col("post_id") % 7, F.lit(".5x and 2 pods"))
+    said = F.concat("content", F.lit(" 22% of "), "post_id", F.lit(" GB, "), F.col("post_id") % 7, F.lit(".5x and 2 pods"))
     return frames.posts(spark, sf).select("post_id", text.quantities(said).alias("found"))
 
 
 @query("t11_marker_hits")
 def t11(spark, sf):
-    said = F.when(F.col("post_id") % 2 == 0, "이 방법을 통해 다양한 것이").otherwise(F.col("title"))
+    said = F.concat("content", F.when(F.col("post_id") % 2 == 0, " 이 방법을 통해 다양한 것이").otherwise(""))
     rows = frames.posts(spark, sf).select("post_id", text.marker_counts(said, fixed.TRANSLATIONESE).alias("translationese"), text.marker_counts(said, fixed.CLICHES).alias("cliches"))
     return rows.select("post_id", F.map_keys("translationese").alias("translationese"), F.map_keys("cliches").alias("cliches"))

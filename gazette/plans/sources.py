@@ -62,7 +62,7 @@ def src01(spark, sf):
     return kept.select("link", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
-@query("snk01_posts_by_day", f"WITH {frames.SCORED} SELECT 'new' || post_id AS title, strftime(published, '%Y-%m-%d') AS date, score FROM scored WHERE day(published) = 9 UNION ALL SELECT title, strftime(published, '%Y-%m-%d'), score FROM scored WHERE day(published) = 10")
+@query("snk01_posts_by_day", f"WITH {frames.SCORED} SELECT CASE WHEN day(published) = 9 THEN 'new' || post_id ELSE title END AS title, strftime(published, '%Y-%m-%d') AS date, score FROM scored")
 def snk01(spark, sf):
     """All days written, one of them again: its rows are replaced, the others' stay."""
     rows = frames.scored(spark, sf).select("title", "link", "source", "score", F.date_format("published", "yyyy-MM-dd").alias("date"), F.dayofmonth("published").alias("d"), "post_id")
@@ -73,7 +73,7 @@ def snk01(spark, sf):
 
 
 @query("h20_article_view", f"""WITH {frames.SCORED}, v AS (SELECT post_id, score, strftime(published, '%Y-%m-%d') AS day, source, greatest(1, round_even(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) / 200.0::double, 0)::int) AS minutes,
-source || '-' || replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), ' ', '_') || '-' || left(sha1(link), 8) || '.json' AS file FROM scored WHERE day(published) = 5)
+source || '-' || replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), ' ', '_') || '-' || left(sha1(link), 8) || '.json' AS file FROM scored)
 SELECT post_id, upper(left(source, 1)) || substr(source, 2) AS label, day, minutes, row_number() OVER (ORDER BY score DESC, day DESC, file) AS place FROM v""")
 def h20(spark, sf):
     from gazette.operators import render
