@@ -66,20 +66,5 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Keys that may be broadcast (8 bytes each, some tens in a hash table); more are joined by shuffle.
-FEW = 1_000_000
-
-
-def without(rows: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key isn't among ``gone``, all columns kept. A null key is never among them.
-
-    The keys are written and counted first: while they are few the rows, texts and all, stay where they are.
-    """
-    gone = materialize(gone.select(key).distinct(), "gone")
-    if gone.count() <= FEW:
-        gone = F.broadcast(gone)
-    return rows.join(gone, key, "left_anti").select(*rows.columns)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
