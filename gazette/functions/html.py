@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import escape
 from urllib.parse import urljoin
 
@@ -131,7 +132,7 @@ def sections_of(root: Node) -> dict[str, str]:
 
 
 def markdown_html(text: str | None) -> str:
-    """A subset of Markdown as HTML, sanitized: headings, fenced code, lists, emphasis, links, images, paragraphs.
+    """A subset of Markdown as HTML, sanitized: headings, fenced code, nested lists, quotations, tables, emphasis, links (also by reference), images, paragraphs.
 
     HTML in the text passes through the sanitizer; what fails to convert is escaped, never let through.
     """
@@ -143,47 +144,93 @@ def markdown_html(text: str | None) -> str:
         return escape(text or "")
 
 
-def _inline(text: str) -> str:
+def _inline(text: str, targets: dict[str, str]) -> str:
+    """Spans of a line: code first, whose text nothing else touches, then images, links and emphasis."""
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
         kept.append(f"<code>{escape(m[1], quote=False)}</code>")
         return f"\0{len(kept) - 1}\0"
 
+    def named(m: re.Match) -> str:
+        to = targets.get((m[2] or m[1]).casefold())
+        return m[0] if to is None else f'<a href="{to}">{m[1]}</a>'
+
     text = re.sub(r"`([^`]+)`", keep, text)
     text = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img alt="\1" src="\2">', text)
     text = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', text)
+    text = re.sub(r"\[([^\]]+)\]\[([^\]]*)\]", named, text)
     text = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", text)
+    text = re.sub(r"(?<!\w)__(.+?)__(?!\w)", r"<strong>\1</strong>", text)
     text = re.sub(r"(?<!\*)\*([^*\n]+)\*(?!\*)", r"<em>\1</em>", text)
+    text = re.sub(r"(?<![\w/\"=])_([^_\n]+)_(?![\w\"])", r"<em>\1</em>", text)
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], text)
 
 
+_ITEM = re.compile(r"( *)([-*+]|\d+\.)\s+(.*)")
+_RULE = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*")
+
+
 def _markdown(text: str) -> str:
     out: list[str] = []
-    fenced = re.split(r"(?ms)^```[^\n]*\n(.*?)^```\s*$", text)
-    for k, part in enumerate(fenced):
+    for k, part in enumerate(re.split(r"(?ms)^```[^\n]*\n(.*?)^```\s*$", text)):
         if k % 2:
             out.append(f"<pre><code>{escape(part, quote=False)}</code></pre>")
             continue
-        for block in re.split(r"\n\s*\n", part):
-            block = block.strip("\n")
-            if not block.strip():
-                continue
-            lines = block.split("\n")
-            if m := re.match(r"(#{1,6})\s+(.*)", lines[0]):
-                out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
-                lines = lines[1:]
-            if lines and all(re.match(r"\s*[-*+]\s+", x) for x in lines):
-                out.append("<ul>" + "".join(f"<li>{_inline(re.sub(r'^\s*[-*+]\s+', '', x))}</li>" for x in lines) + "</ul>")
-            elif lines and all(re.match(r"\s*\d+\.\s+", x) for x in lines):
-                out.append("<ol>" + "".join(f"<li>{_inline(re.sub(r'^\s*\d+\.\s+', '', x))}</li>" for x in lines) + "</ol>")
-            elif lines and lines[0].lstrip().startswith("<"):
-                out.append("\n".join(lines))
-            elif lines:
-                out.append("<p>" + "<br>\n".join(map(_inline, lines)) + "</p>")
+        targets: dict[str, str] = {}
+
+        def aside(m: re.Match, targets=targets) -> str:
+            targets[m[1].casefold()] = m[2]
+            return ""
+
+        part = re.sub(r"(?m)^ {0,3}\[([^\]]+)\]:\s*(\S+).*$", aside, part)
+        out += [x for block in re.split(r"\n\s*\n", part) if block.strip() for x in _block(block.strip("\n").split("\n"), targets)]
     return "\n".join(out)
 
 
+def _block(lines: list[str], targets: dict[str, str], quoted: int = 0) -> Iterator[str]:
+    """HTML of a block without blank lines: a heading, then a quotation, list, table, raw HTML or paragraph."""
+    if m := re.match(r"(#{1,6})\s+(.*)", lines[0]):
+        yield f"<h{len(m[1])}>{_inline(m[2], targets)}</h{len(m[1])}>"
+        lines = lines[1:]
+    if not lines:
+        return
+    if lines[0].startswith(">") and quoted < 20:
+        inner = [re.sub(r"^> ?", "", x) for x in lines]
+        held = "".join(y for x in "\n".join(inner).split("\n\n") if x.strip() for y in _block(x.split("\n"), targets, quoted + 1))
+        yield f"<blockquote>{held}</blockquote>"
+    elif all(_ITEM.fullmatch(x) for x in lines):
+        yield _list([_ITEM.fullmatch(x).groups() for x in lines], targets)
+    elif len(lines) > 1 and "|" in lines[0] and _RULE.fullmatch(lines[1]):
+        cells = lambda x, tag: "<tr>" + "".join(f"<{tag}>{_inline(c.strip(), targets)}</{tag}>" for c in x.strip().strip("|").split("|")) + "</tr>"
+        yield f"<table><thead>{cells(lines[0], 'th')}</thead><tbody>{''.join(cells(x, 'td') for x in lines[2:])}</tbody></table>"
+    elif lines[0].lstrip().startswith("<"):
+        yield "\n".join(lines)
+    else:
+        yield "<p>" + "<br>\n".join(_inline(x, targets) for x in lines) + "</p>"
+
+
+def _list(items: list[tuple[str, str, str]], targets: dict[str, str]) -> str:
+    """Items (indent, mark, text) as lists, one within the other by indent; open lists wait on a stack."""
+    out: list[str] = []
+    waiting: list[tuple[int, str]] = []
+    for indent, mark, said in items:
+        depth, tag = len(indent), "ol" if mark[0].isdigit() else "ul"
+        while waiting and depth < waiting[-1][0]:
+            out.append(f"</li></{waiting.pop()[1]}>")
+        if waiting and (depth == waiting[-1][0] or depth < waiting[-1][0] + 2):
+            out.append("</li>")
+            if waiting[-1][1] != tag:
+                out.append(f"</{waiting[-1][1]}><{tag}>")
+                waiting[-1] = (waiting[-1][0], tag)
+        else:
+            out.append(f"<{tag}>")
+            waiting.append((depth, tag))
+        out.append(f"<li>{_inline(said, targets)}")
+    out += [f"</li></{tag}>" for _, tag in reversed(waiting)]
+    return "".join(out)
+
+
 _KINDS = {"int": IntegerType(), "texts": ArrayType(StringType()), "text": StringType()}
 _MEASURES = (
     ("length", "int"), ("sections", "texts"), ("required_sections", "int"), ("missing", "texts"), ("subheads", "int"), ("absence_filler", "int"), ("code_blocks", "int"),

@@ -55,6 +55,15 @@ def test_markdown():
     assert "<ul><li>x</li><li>y</li></ul>" in got and '<pre class="pre-scrollable">' in got and "bad" not in got
 
 
+def test_markdown_blocks():
+    said = "| a | b |\n|---|:-:|\n| 1 | **2** |\n\n- x\n  - y\n    1. z\n- w\n\n> q _e_ snake_case\n> r\n\nsee [t][k] and [K][] and [no][where]\n\n[k]: https://e.example/a_b_c"
+    got = html.markdown_html(said)
+    assert '<tr><th>a</th><th>b</th></tr>' in got and "<tr><td>1</td><td><strong>2</strong></td></tr>" in got and 'class="table table-bordered"' in got
+    assert "<ul><li>x<ul><li>y<ol><li>z</li></ol></li></ul></li><li>w</li></ul>" in got
+    assert "<blockquote><p>q <em>e</em> snake_case<br/>\nr</p></blockquote>" in got
+    assert '<a href="https://e.example/a_b_c">t</a> and <a href="https://e.example/a_b_c">K</a> and [no][where]' in got
+
+
 def test_deep_and_broken_pages():
     deep = "<p>x" * 100_000
     for f in (html.visible_text, html.content_html, html.sanitized, html.main_content, html.markdown_html, html.prose_text):
