@@ -1,4 +1,4 @@
-"""H queries over pages: operators that need an HTML tree. Rows only, their values are tested in tests/."""
+"""H queries over pages: operators that need an HTML tree. Those without an oracle have their values tested in tests/."""
 
 from __future__ import annotations
 
@@ -50,21 +50,32 @@ def h06(spark, sf):
     return docs.select("post_id", html.markdown_udf(said).alias("html"))
 
 
-@query("h07_sourced_images")
+@query("h07_sourced_images", "SELECT page_id, '<p>x</p>' || CASE WHEN page_id % 3 < 2 THEN '<img src=\"/' || page_id % 3 || '.png\"/>' ELSE '' END AS html, CASE WHEN page_id % 3 = 2 THEN '/2.png|' ELSE '' END || 'https://nowhere.example/b.png' AS dropped FROM pages")
 def h07(spark, sf):
-    summary = F.concat(F.lit('<p>x</p><img src="/a.png"/><img src="https://nowhere.example/b.png"/>'), F.lit(""))
-    found = html.sourced_images_udf(summary, F.concat("html", F.lit("/a.png")), F.array().cast("array<string>"))
-    return pages(spark, sf).select("page_id", found.alias("x")).select("page_id", "x.*")
+    """Each page has one picture in its source and knows one; a summary has one of three, and one from nowhere."""
+    summary = F.concat(F.lit('<p>x</p><img src="/'), F.col("page_id") % 3, F.lit('.png"/><img src="https://nowhere.example/b.png"/>'))
+    found = html.sourced_images_udf(summary, F.concat("html", F.lit('<img src="/0.png">')), F.array(F.lit("/1.png")))
+    return pages(spark, sf).select("page_id", found.alias("x")).select("page_id", "x.html", F.array_join("x.dropped", "|").alias("dropped"))
 
 
-@query("h14_tight_html")
+PRE = "(?is)<pre\\b[^>]*>.*?</pre>"
+TIGHT = "regexp_replace(regexp_replace(p[i], '[ \\t]*\\r?\\n[ \\t\\r\\n]*', ' ', 'g'), '[ \\t]{2,}', ' ', 'g')"
+
+
+@query("h14_tight_html", f"WITH w AS (SELECT page_id, replace(html, '><', '>' || chr(10) || '  <') || '<pre>a  ' || chr(10) || '  b</pre>  x ' || chr(10) || chr(9) || 'y' AS said FROM pages), s AS (SELECT page_id, string_split_regex(said, '{PRE}') AS p, regexp_extract_all(said, '{PRE}') AS kept FROM w) SELECT page_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: {TIGHT} || coalesce(kept[i], '')), '') AS html FROM s")
 def h14(spark, sf):
-    return pages(spark, sf).select("page_id", text.tight_html(F.col("html")).alias("html"))
+    said = F.concat(F.replace("html", F.lit("><"), F.lit(">\n  <")), F.lit("<pre>a  \n  b</pre>  x \n\ty"))
+    return pages(spark, sf).select("page_id", text.tight_html(said).alias("html"))
+
 
+ORIGIN, FOLDER, PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*')", "regexp_extract(url, '^[^:/?#]+://[^/?#]*((/[^?#]*)?/)?')", "regexp_extract(url, '^[^?#]*')"
 
-@query("h18_images")
+
+@query("h18_images", f"SELECT page_id, array_to_string(list_sort([{ORIGIN} || '/i.png', rtrim({FOLDER}, '/') || '/b.png', 'https://z.example/a.png']), '|') AS images FROM pages")
 def h18(spark, sf):
-    return pages(spark, sf).select("page_id", html.images_udf("html", "url").alias("images"))
+    """Pages have no pictures, so each is given some: from the root, absolute (twice), inline data, none, and one in Markdown."""
+    more = F.lit('<img src="/i.png"><p><img src="https://z.example/a.png"><img src="https://z.example/a.png"><img src="data:x"><img></p>![x](b.png)')
+    return pages(spark, sf).select("page_id", F.array_join(html.images_udf(F.concat("html", more), "url"), "|").alias("images"))
 
 
 @query("src14_main_content")
@@ -72,9 +83,14 @@ def src14(spark, sf):
     return pages(spark, sf).select("page_id", html.main_content_udf("html").alias("main"))
 
 
-@query("url01_joined_url")
+HREFS = ("https://a.example/x", "//b.example/y", "?q=1", "#f", "c/d", "mailto:me@e.example")
+
+
+@query("url01_joined_url", f"WITH h AS (SELECT page_id, url, CASE WHEN page_id % 7 = 6 THEN regexp_extract(html, 'href=\"([^\"]*)\"', 1) ELSE [{', '.join(f"'{x}'" for x in HREFS)}][1 + page_id % 7] END AS href FROM pages) SELECT page_id, CASE WHEN href = '' THEN url WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^/]*') || href WHEN starts_with(href, '/') THEN {ORIGIN} || href WHEN starts_with(href, '?') THEN {PATH} || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^[^#]*') || href WHEN contains(href, ':') THEN href ELSE rtrim({FOLDER}, '/') || '/' || href END AS link FROM h")
 def url01(spark, sf):
-    href = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    """A page's first link, or a link of each of the other kinds."""
+    k = F.col("page_id") % 7
+    href = F.when(k == 6, F.regexp_extract("html", 'href="([^"]*)"', 1)).otherwise(F.get(F.array(*map(F.lit, HREFS)), k.cast("int")))
     return pages(spark, sf).select("page_id", html.join_url_udf("url", href).alias("link"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gazette import fixed
@@ -359,14 +361,32 @@ def t08(spark, sf):
     return frames.posts(spark, sf).select("post_id", F.size(text.sentences(F.col("content"))).cast("long").alias("sentences"))
 
 
-@query("t10_quantities")
+def once(values: str) -> str:
+    """SQL for a list without repeats, in order of first places."""
+    return f"list_filter(list_transform(range(1, len({values}) + 1), lambda i: CASE WHEN list_position({values}, {values}[i]) = i THEN {values}[i] END), lambda x: x IS NOT NULL)"
+
+
+def consuming(pattern: str) -> str:
+    """A pattern of the fixed values without looking around, as an SQL text: it matches where the other does."""
+    return "'" + re.sub(r"\(\?<?=([^()]*)\)", r"(?:\1)", pattern).replace("'", "''") + "'"
+
+
+def marked(markers: dict[str, str]) -> str:
+    said = ", ".join(f"CASE WHEN regexp_matches(said, {consuming(x)}) THEN '{name}' END" for name, x in markers.items())
+    return f"array_to_string(list_filter([{said}], lambda x: x IS NOT NULL), '|')"
+
+
+@query("t10_quantities", P + f", q AS (SELECT post_id, list_transform(regexp_extract_all(content || ' 22% of ' || post_id || ' GB, ' || post_id % 7 || '.5x and 2 pods', {consuming(fixed.MEASURED)}), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS v FROM posts) SELECT post_id, array_to_string({once('v')}, '|') AS found FROM q")
 def t10(spark, sf):
     said = F.concat("content", F.lit(" 22% of "), "post_id", F.lit(" GB, "), F.col("post_id") % 7, F.lit(".5x and 2 pods"))
-    return frames.posts(spark, sf).select("post_id", text.quantities(said).alias("found"))
+    return frames.posts(spark, sf).select("post_id", F.array_join(text.quantities(said), "|").alias("found"))
+
+
+MARKED = (" 이 방법을 통해 다양한 것이", " 제공합니다, 개발자들이 보는 것은", " 단순히 도구가 아니라 결론적으로 인상적인", "")
 
 
-@query("t11_marker_hits")
+@query("t11_marker_hits", P + ", m AS (SELECT post_id, content || [" + ", ".join(f"'{x}'" for x in MARKED) + f"][1 + post_id % 4] AS said FROM posts) SELECT post_id, {marked(fixed.TRANSLATIONESE)} AS translationese, {marked(fixed.CLICHES)} AS cliches FROM m")
 def t11(spark, sf):
-    said = F.concat("content", F.when(F.col("post_id") % 2 == 0, " 이 방법을 통해 다양한 것이").otherwise(""))
+    said = F.concat("content", F.element_at(F.array(*map(F.lit, MARKED)), (1 + F.col("post_id") % 4).cast("int")))
     rows = frames.posts(spark, sf).select("post_id", text.marker_counts(said, fixed.TRANSLATIONESE).alias("translationese"), text.marker_counts(said, fixed.CLICHES).alias("cliches"))
-    return rows.select("post_id", F.map_keys("translationese").alias("translationese"), F.map_keys("cliches").alias("cliches"))
+    return rows.select("post_id", F.array_join(F.map_keys("translationese"), "|").alias("translationese"), F.array_join(F.map_keys("cliches"), "|").alias("cliches"))
