@@ -1,5 +1,8 @@
 """Feeds, index pages and files, from small documents of our own."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,62 @@ def test_objects_and_recipients(spark, tmp_path):
 def test_eval_set(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"criteria": "c", "articles": [{"id": "a", "expected_band": "high", "title": "t", "content": "x"}]}')
     assert files.read_eval_set(spark, str(tmp_path / "e.json")).first().id == "a"
+
+
+#: The specifications whose pages of many posts are read in steps that go with their posts.
+LARGE = ("engineering",)
+
+
+@pytest.mark.parametrize("spec", LARGE)
+def test_steps_go_with_the_posts_of_a_page(spec, monkeypatch):
+    from gazette.functions.dom import Node
+    from gazette.plans.sources import SHAPES
+
+    walked = []
+    walk = Node.walk
+    monkeypatch.setattr(Node, "walk", lambda x: (walked.append(1) or y for y in walk(x)))
+
+    def steps(n):
+        walked.clear()
+        before, title, date, end = SHAPES[spec]
+        html = "".join(f"{before}{k}{title}Report {k}{date}Jan 8, 2024{end}" for k in range(n))
+        offered, entries, errors = pages.entries_of(pages.BY_NAME[spec], f"<html><body>{html}</body></html>", "https://s.example/")
+        assert offered == len(entries) == n and not errors
+        return len(walked)
+
+    assert steps(400) < 2.2 * steps(200)
+
+
+def plain_date(link, spec):
+    """The date near a link by rendering each scope around it without the other links."""
+    post = lambda x: x.name == "a" and re.search(spec.link, x.attrs.get("href", ""))
+    for scope in [link, *link.ancestors()][: spec.depth]:
+        html = scope.html() if scope is link else scope.html(lambda x, scope=scope: x is scope or x is link or not post(x))
+        for date in spec.dates:
+            if found := re.search(date, html):
+                return found[1]
+    return ""
+
+
+def test_dates_are_those_of_each_scope_read_by_itself():
+    from gazette.functions.dom import parse
+
+    dice = random.Random(5)
+    said = ["May 2", "8, 2024", "May 28, 2024", " ", "é", "2024-01-0", "5", "2024-01-05", "1/2", "/2024", "x < y", "<br>", "</a>", "<!-- May 5, 2024 -->"]
+
+    def markup(depth):
+        kinds = [lambda: dice.choice(said)] * 4 + [lambda: f"<div>{markup(depth - 1)}</div>", lambda: f"<h2>{markup(depth - 1)}", lambda: f'<a href="/{dice.choice(("blog", "news", "engineering"))}/{dice.randint(1, 9)}">{markup(depth - 1)}{dice.choice(("</a>", "</a>", ""))}'] * 2
+        return "".join(dice.choice(kinds[: 4 if depth < 1 else None])() for _ in range(dice.randint(1, 4)))
+
+    found = 0
+    for _ in range(300):
+        html = markup(4)
+        for name in ("engineering", "blog", "news"):
+            root, spec = parse(html), pages.BY_NAME[name]
+            page = pages.Page(root, spec)
+            for x in root.find("a"):
+                if re.search(spec.link, x.attrs["href"]):
+                    assert page.date_near(x) == plain_date(x, spec), html
+                    assert [page.heading_below(y) for y in x.ancestors()] == [next((h.text("") for h in y.find(*pages.HEADINGS)), None) for y in x.ancestors()]
+                    found += bool(page.date_near(x))
+    assert found > 200
