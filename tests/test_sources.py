@@ -132,7 +132,7 @@ def test_eval_set(spark, tmp_path):
 
 
 #: The specifications whose pages of many posts are read in steps that go with their posts.
-LARGE = ("engineering", "blog", "blog-parent")
+LARGE = ("engineering", "blog", "blog-parent", "news")
 
 
 @pytest.mark.parametrize("spec", LARGE)
