@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators import frames, guard
 from gazette.plans.registry import query
-from gazette.shared import new_path
+from gazette.shared import materialize, new_path
 from gazette.sources import feeds, files, pages
 
 
@@ -86,7 +86,7 @@ def h20(spark, sf):
 @query("src11_page_health", f"WITH {frames.POSTS} SELECT 'https://' || source || '.example.com/blog/' AS url, 'blog' AS fetcher, CASE WHEN count(*) FILTER (date_trunc('day', published) BETWEEN {DAYS[0]} AND {DAYS[1]}) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) FILTER (date_trunc('day', published) BETWEEN {DAYS[0]} AND {DAYS[1]}) AS post_count, 0::bigint AS duplicates, count(*) AS candidates, NULL::varchar AS error FROM posts GROUP BY source UNION ALL SELECT 'https://lost.example.com/', 'blog', 'failed', 0, 0, NULL, 'ValueError: page is missing'")
 def src11(spark, sf):
     lost = frames.literal(spark, [("https://lost.example.com/", "blog", None)], "url string, spec string, html string")
-    scraped = pages.scrape(index_pages(spark, sf).unionByName(lost))
+    scraped = materialize(pages.scrape(index_pages(spark, sf).unionByName(lost)), "scraped")
     return pages.page_health(scraped, pages.posts_in_window(scraped, F.expr(DAYS[0]), F.expr(DAYS[1])))
 
 

@@ -188,3 +188,10 @@ def test_dates_are_those_of_each_scope_read_by_itself():
                     assert [page.heading_below(y) for y in x.ancestors()] == [next((h.text("") for h in y.find(*pages.HEADINGS)), None) for y in x.ancestors()]
                     found += bool(page.date_near(x))
     assert found > 200
+
+
+def test_pages_are_read_once_for_their_health(spark):
+    from gazette.plans import catalog
+
+    plan = catalog.QUERIES["src11_page_health"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "MapInPandas" not in plan
