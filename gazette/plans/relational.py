@@ -50,7 +50,7 @@ def f04(spark, sf):
 
 @query("f05_length_gate", f"WITH {frames.POSTS}, v AS (SELECT post_id, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS n FROM posts) SELECT post_id, n >= 600 AS kept, CASE WHEN n < 600 THEN 'Insufficient content: ' || n || ' visible chars (minimum 600). Skipped before summarization.' END AS reason FROM v")
 def f05(spark, sf):
-    plain = frames.posts(spark, sf).withColumn("content", F.translate("content", "<&", "  "))
+    plain = frames.posts(spark, sf).withColumn("content", text.escaped(F.col("content")))
     kept, rejected = model.gate(plain)
     return kept.select("post_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("post_id", F.lit(False).alias("kept"), "reason"))
 

@@ -79,3 +79,19 @@ def test_every_article_has_its_own_name(spark):
     plain = {r.post_id: file_name("newsletter", "dev", "2024-01-31", "en", k) for k, r in enumerate(rows, 1)}
     assert len(set(plain.values())) == len(rows) > 100
     assert {r.post_id: r.name for r in catalog.QUERIES["w07_article_names"](spark, SF).collect()} == plain
+
+
+def compared(spark, folder, name, table, rows, schema):
+    """A query against its SQL over rows of our own."""
+    import pandas as pd
+
+    from tests import oracle
+
+    pd.DataFrame(rows, columns=schema).to_parquet(f"{folder}/{table}.parquet")
+    oracle.compare(spark, oracle.connect(str(folder)), catalog.QUERIES[name], catalog.SQL[name], str(folder))
+
+
+def test_length_gate_counts_markup_characters_at_the_ends(spark, tmp_path):
+    said = ["la.&&& leauxan.&&&", "&" + "x" * 598 + "<", " <p>" + "y" * 597 + "</p>\n", "&lt; &amp", "a < b > c &#39; \"d\"", "&", "", None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(said)]
+    compared(spark, tmp_path, "f05_length_gate", "documents", rows, ["doc_id", "text", "lang", "source", "n_chars"])
