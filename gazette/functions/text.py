@@ -65,6 +65,11 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which only character references with their semicolon count; what a cut leaves of one is text. Browsers, and the tree, would read some of those."""
+    return F.regexp_replace(html, r"&(?!(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 def anchor(url: Column, text: Column) -> Column:
     return F.concat(F.lit('<a href="'), escaped(trimmed(url)), F.lit('">'), escaped(trimmed(text)), F.lit("</a>"))
 

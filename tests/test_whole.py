@@ -95,3 +95,10 @@ def test_length_gate_counts_markup_characters_at_the_ends(spark, tmp_path):
     said = ["la.&&& leauxan.&&&", "&" + "x" * 598 + "<", " <p>" + "y" * 597 + "</p>\n", "&lt; &amp", "a < b > c &#39; \"d\"", "&", "", None]
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(said)]
     compared(spark, tmp_path, "f05_length_gate", "documents", rows, ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+CUT = ["<title>a&amp;&amp</title><p>b &lt; c</p>", "<p>x &lt</p><p>&gt;</p>", "<p>&quot;q&quot;</p>&#39", "<p>R&D & &copy; &cop</p>", "<p>&#39;&am</p>", "plain", ""]
+
+
+def test_visible_text_reads_closed_references_only(spark, tmp_path):
+    compared(spark, tmp_path, "h02_visible_text", "pages", [(k, "u", t) for k, t in enumerate(CUT)], ["page_id", "url", "html"])
