@@ -195,3 +195,13 @@ def test_pages_are_read_once_for_their_health(spark):
 
     plan = catalog.QUERIES["src11_page_health"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "MapInPandas" not in plan
+
+
+def test_a_few_pages_and_their_posts_are_dealt_over_tasks(spark):
+    from gazette.plans.sources import index_pages
+
+    tasks = lambda df: df.select(F.spark_partition_id().alias("task")).distinct().count()
+    read = pages.scrape(index_pages(spark, "/root/testdata/sf0.001"))
+    assert tasks(read) > 1
+    days = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
+    assert tasks(pages.posts_in_window(read, *days)) > 1
