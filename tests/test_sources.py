@@ -205,3 +205,21 @@ def test_a_few_pages_and_their_posts_are_dealt_over_tasks(spark):
     assert tasks(read) > 1
     days = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
     assert tasks(pages.posts_in_window(read, *days)) > 1
+
+
+@pytest.mark.parametrize(("spec", "html", "first"), [("blog-parent", PARENT, ["Kernels | Qwen"]), ("blog", BLOG, ["Report one"])])
+def test_a_text_is_a_candidate_once(spec, html, first):
+    _, entries, _ = pages.entries_of(pages.BY_NAME[spec], html, "https://s.example/")
+    assert entries[0]["candidates"] == first
+    assert all(len(e["candidates"]) == len(set(e["candidates"])) for e in entries)
+
+
+def test_selectors_are_read_once():
+    from gazette.functions import dom
+
+    dom._tests.cache_clear()
+    root = dom.parse("<p class='a b' id='x1'>1</p><p class='a'>2</p><b>3</b>" * 3)
+    assert [x.text() for _ in range(4) for x in dom.select(root, "p.a.b, b")] == ["1", "3"] * 12
+    assert [x.text() for x in dom.select(root, "p[id^=x]")] == ["1"] * 3 and dom._tests.cache_info().misses == 2
+    with pytest.raises(ValueError, match="no simple selector"):
+        dom.select(root, "p > b")
