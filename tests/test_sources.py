@@ -223,3 +223,14 @@ def test_selectors_are_read_once():
     assert [x.text() for x in dom.select(root, "p[id^=x]")] == ["1"] * 3 and dom._tests.cache_info().misses == 2
     with pytest.raises(ValueError, match="no simple selector"):
         dom.select(root, "p > b")
+
+
+@pytest.mark.parametrize(("spec", "html"), [("news", NEWS), ("blog", BLOG)])
+def test_a_page_is_rendered_once_and_an_address_resolved_once(spec, html, monkeypatch):
+    from gazette.functions.dom import Node
+
+    rendered, resolved, plain_html, plain_url = [], [], Node.html, pages.joined_url
+    monkeypatch.setattr(Node, "html", lambda x, *a, **b: (rendered.append(x), plain_html(x, *a, **b))[1])
+    monkeypatch.setattr(pages, "joined_url", lambda base, href: (resolved.append(href), plain_url(base, href))[1])
+    offered, entries, _ = pages.entries_of(pages.BY_NAME[spec], html, "https://s.example/")
+    assert entries and len(rendered) == 1 and len(resolved) <= offered
